@@ -18,29 +18,26 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..model import plain_text
 from ..storage import written
 from .copydiff import KEYS, plain_table
-from .dedup import RANK, rank_copies
+from .dedup import surplus_deliveries
 from ..functions.position import score
 
 _ID = ["stream_id", "dml_table"]
 _KEY = [*_ID, "row_key"]
 
 
-def _entries(names: Column, values: Column) -> Column:
-    """Map of name to text of the cell; of a name listed twice the last holds."""
-    zipped = F.filter(F.arrays_zip(names.alias("n"), values.alias("v")), lambda x: x["n"].isNotNull())
-    return F.transform(zipped, lambda x: F.struct(x["n"].alias("name"), plain_text(x["v"]).alias("text")))
+def _part(name: str, names: Column, values: Column) -> Column:
+    """Text of the cell with the name; NULL if the name is not listed."""
+    return plain_text(F.get(values, F.array_position(names, name) - 1))
 
 
-def _pick(entries: Column, name: str) -> Column:
-    return F.get(F.reverse(F.filter(entries, lambda x: x["name"] == name)), F.lit(0))["text"]
-
-
-def _key_of(table: Column, entries: Column, fallback: Column | None = None) -> Column:
-    """Key text from the entries (a key column that is absent comes from ``fallback``); NULL if a part is missing."""
+def _key_of(table: Column, *listed: tuple[Column, Column]) -> Column:
+    """Key text from the first of the ``listed`` pairs of names and values that lists each key column; NULL if a part is missing."""
 
     def part(name: str) -> Column:
-        own = _pick(entries, name)
-        return own if fallback is None else F.when(F.exists(entries, lambda x: x["name"] == name), own).otherwise(_pick(fallback, name))
+        found = F.lit(None).cast("string")
+        for names, values in reversed(listed):
+            found = F.when(F.array_contains(names, name), _part(name, names, values)).otherwise(found)
+        return found
 
     def joined(columns: tuple[str, ...]) -> Column:
         parts = [part(c) for c in columns]
@@ -49,35 +46,37 @@ def _key_of(table: Column, entries: Column, fallback: Column | None = None) -> C
             missing = missing | p.isNull()
         return F.when(~missing, F.concat_ws("|", *parts))
 
-    made = joined(("id",))
+    made = part("id")
     for name, columns in KEYS.items():
         made = F.when(table == name, joined(columns)).otherwise(made)
     return made
 
 
 def accepted_events(changes: DataFrame) -> DataFrame:
-    """Each change once, without those that are refused: stream_id, dml_table, kind, row_key, new_key, seq, names.
-
-    ``new_key`` is set only where an update moves its row to another key.
-    Refused are kinds other than insert, update and delete in lower case,
-    differing numbers of names and values (of columns or old keys), updates
-    and deletes without old keys, and changes whose position is unreadable or
-    whose key cannot be read (a key column missing or NULL).
+    """Each change once, without those that are refused: stream_id, dml_table, row_key, new_key, seq, names and kind.
+
+    kind is insert, update, delete or, of an update that moves its row to
+    another key (``new_key``), move.  Refused are kinds other than insert,
+    update and delete in lower case, differing numbers of names and values (of
+    columns or old keys), updates and deletes without old keys, and changes
+    whose position is unreadable or whose key cannot be read (a key column
+    missing or NULL).  Of a name listed twice the first holds.
     """
     size = lambda c: F.coalesce(F.size(c), F.lit(0))
     table = plain_table(F.col("dml_table"))
-    own, old = _entries(F.col("column_names"), F.col("column_values")), _entries(F.col("old_key_names"), F.col("old_key_values"))
-    slim = changes.select("delivery_id", "received_at", "stream_id", score(F.col("change_position")).alias("score"), "row_no", "dml_table", "dml_kind", "column_names", "column_values", "old_key_names", "old_key_values")
-    fits = F.col("dml_kind").isin("insert", "update", "delete") & (size("column_names") == size("column_values")) & (size("old_key_names") == size("old_key_values")) & ((F.col("dml_kind") == "insert") | (size("old_key_names") > 0))
-    event = slim.select(
-        "delivery_id", "received_at", "stream_id", "score", "row_no", "dml_table", F.when(fits, F.col("dml_kind")).alias("kind"),
-        F.when(F.col("dml_kind") == "insert", _key_of(table, own)).otherwise(_key_of(table, old)).alias("row_key"),
-        F.when(F.col("dml_kind") == "update", _key_of(table, own, old)).alias("new_key"),
-        F.when(F.col("dml_kind") != "delete", F.array_distinct(F.filter("column_names", lambda n: n.isNotNull()))).alias("names"),
-    )
-    once = rank_copies(event.where("score is not null and stream_id is not null and row_no is not null"), ["stream_id", "score", "row_no"], ["received_at", "delivery_id"]).where(F.col(RANK) == 1)
-    moved = F.when(F.col("new_key") != F.col("row_key"), F.col("new_key"))
-    return once.where("kind is not null and row_key is not null and dml_table is not null").select(*_ID, "kind", "row_key", moved.alias("new_key"), F.struct("score", "row_no").alias("seq"), "names")
+    own, old = (F.col("column_names"), F.col("column_values")), (F.col("old_key_names"), F.col("old_key_values"))
+    kind = F.col("dml_kind")
+    fits = kind.isin("insert", "update", "delete") & (size("column_names") == size("column_values")) & (size("old_key_names") == size("old_key_values")) & ((kind == "insert") | (size("old_key_names") > 0))
+    # The surplus is found on slim rows; a refused copy stands for its change like any other.
+    event = changes.where(fits).where("stream_id is not null and row_no is not null and dml_table is not null").select(
+        "delivery_id", *_ID, score(F.col("change_position")).alias("score"), "row_no", kind.alias("kind"),
+        F.when(kind == "insert", _key_of(table, own)).otherwise(_key_of(table, old)).alias("row_key"),
+        F.when(kind == "update", _key_of(table, own, old)).alias("new_key"),
+        F.when(kind != "delete", F.col("column_names")).alias("names"),
+    ).where("score is not null and row_key is not null")
+    once = event.join(surplus_deliveries(changes), "delivery_id", "left_anti")
+    moves = F.col("new_key") != F.col("row_key")
+    return once.select(*_KEY, F.when(moves, F.col("new_key")).alias("new_key"), F.struct("score", "row_no").alias("seq"), "names", F.when(moves, "move").otherwise(F.col("kind")).alias("kind"))
 
 
 def _settled_moves(touches: DataFrame, rounds: int = 1000) -> DataFrame:
@@ -111,12 +110,11 @@ def _settled_moves(touches: DataFrame, rounds: int = 1000) -> DataFrame:
 def _moved_cells(events: DataFrame, moves: DataFrame, touched: DataFrame) -> DataFrame:
     """Cells of the live rows whose key some move touches."""
     there = events.join(touched, _KEY, "left_semi")
-    # An update that lists no other key; moves come from the moves themselves.
     plain = there.where("kind in ('insert', 'delete')").select(*_KEY, "seq", "kind", "names", F.lit(None).cast("string").alias("other"))
     out = moves.select(*_KEY, "seq", F.lit("out").alias("kind"), "names", F.col("new_key").alias("other"))
     into = moves.select(*_ID, F.col("new_key").alias("row_key"), "seq", F.lit("in").alias("kind"), "names", F.col("row_key").alias("other"))
     settled = _settled_moves(plain.unionByName(out).unionByName(into))
-    updates = there.where("kind = 'update' and new_key is null").select(*_KEY, "seq", "kind", "names", F.lit(None).cast("string").alias("other"), F.lit(None).cast("boolean").alias("works"))
+    updates = there.where("kind = 'update'").select(*_KEY, "seq", "kind", "names", F.lit(None).cast("string").alias("other"), F.lit(None).cast("boolean").alias("works"))
     order = Window.partitionBy(*_KEY).orderBy("seq")
     effect = F.when(F.col("kind") == "insert", "live").when(F.col("kind") == "delete", "dead").when(F.col("works") & (F.col("kind") == "in"), "live").when(F.col("works") & (F.col("kind") == "out"), "dead")
     seen = settled.unionByName(updates).withColumn("effect", effect).withColumn("before", F.coalesce(F.last("effect", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit("dead")))
@@ -137,7 +135,7 @@ def _moved_cells(events: DataFrame, moves: DataFrame, touched: DataFrame) -> Dat
         )
     last = chain.where("alive").select(*_KEY, "birth", "last_key")
     setting = inside.where("kind in ('insert', 'in', 'update')").join(last, [*_KEY, "birth"])
-    return setting.select(*_ID, F.col("last_key").alias("row_key"), F.explode("names").alias("column_name"), "seq").groupBy(*_KEY, "column_name").agg(F.max("seq.score").alias("set_score"))
+    return setting.select(*_ID, F.col("last_key").alias("row_key"), F.explode("names").alias("column_name"), F.col("seq.score").alias("score")).where("column_name is not null").groupBy(*_KEY, "column_name").agg(F.max("score").alias("set_score"))
 
 
 def current_cells(changes: DataFrame) -> DataFrame:
@@ -147,19 +145,19 @@ def current_cells(changes: DataFrame) -> DataFrame:
     row whose insert lists no columns beside the key has the key columns; an
     update of a row that is not live does nothing.
     """
-    events = written(accepted_events(changes), "events")
-    moves = events.where("new_key is not null")
+    events = written(accepted_events(changes), "events", by="kind")
+    inserts, deletes, updates, moves = (events.where(F.col("kind") == k) for k in ("insert", "delete", "update", "move"))
     touched = moves.select(*_KEY).unionByName(moves.select(*_ID, F.col("new_key").alias("row_key"))).distinct()
-    inserts, deletes, updates = (events.where(F.col("kind") == k) for k in ("insert", "delete", "update"))
     # Inserts against later deletes of the same key; the first left is the birth.
     last_delete = deletes.groupBy(*_KEY).agg(F.max("seq").alias("deleted"))
     births = inserts.join(last_delete, (_same(inserts, last_delete)) & (F.col("deleted") > F.col("seq")), "left_anti").groupBy(*_KEY).agg(F.min(F.struct("seq", "names")).alias("birth"))
-    births = births.join(touched, _KEY, "left_anti")
-    # Of updates that list the same columns only the last can count.
-    latest = updates.where("new_key is null").groupBy(*_KEY, "names").agg(F.max("seq").alias("seq"))
-    later = latest.join(births.select(*_KEY, F.col("birth.seq").alias("born")), _KEY).where("seq > born").drop("born")
-    setting = births.select(*_KEY, "birth.names", "birth.seq").unionByName(later.select(*_KEY, "names", "seq"))
-    cells = setting.select(*_KEY, F.explode("names").alias("column_name"), "seq.score").groupBy(*_KEY, "column_name").agg(F.max("score").alias("set_score"))
+    if not moves.isEmpty():
+        births = births.join(touched, _KEY, "left_anti")
+    # Of updates that list the same columns only the last can count, so a key has at most as many as there are lists.
+    latest = updates.groupBy(*_KEY, "names").agg(F.max("seq").alias("seq"))
+    by_key = latest.groupBy(*_KEY).agg(F.collect_list(F.struct("seq", "names")).alias("later"))
+    setting = births.join(by_key, _KEY, "left").select(*_KEY, F.explode(F.concat(F.array("birth"), F.coalesce(F.filter("later", lambda u: u["seq"] > F.col("birth.seq")), F.array().cast("array<struct<seq:struct<score:bigint,row_no:int>,names:array<string>>>")))).alias("set"))
+    cells = setting.select(*_KEY, F.explode("set.names").alias("column_name"), F.col("set.seq.score").alias("score")).where("column_name is not null").groupBy(*_KEY, "column_name").agg(F.max("score").alias("set_score"))
     if moves.isEmpty():
         return cells
     return cells.unionByName(_moved_cells(events, moves, touched))

@@ -44,12 +44,12 @@ def _drop(spark: SparkSession, root: str) -> None:
         pass
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and return the table read back."""
+def written(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and return the table read back; ``by`` is a column of few values to part the files by."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:8]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

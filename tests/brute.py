@@ -42,7 +42,7 @@ def surplus(log):
 
 
 def key(table, names, values, fallback=None):
-    cells = {**(fallback or {}), **dict(zip(names, map(value, values)))}
+    cells = {**(fallback or {}), **dict(reversed(list(zip(names, map(value, values)))))}
     wanted = ("org_id", "user_id") if table.removeprefix("public.") == "user_roles" else ("id",)
     parts = [cells.get(c) for c in wanted]
     return None if None in parts else "|".join(parts)
