@@ -9,6 +9,7 @@ flat arrays over all lines of a batch; no page is handled by itself.
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,9 +40,14 @@ def _flat(values: pa.ChunkedArray | pa.Array) -> pa.Array:
     return values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
 
 
+def normalised(texts: pa.Array) -> pa.Array:
+    """Texts in Unicode's composed compatibility form (Arrow's own function leaves accents decomposed)."""
+    return pa.array([t if t is None or t.isascii() or unicodedata.is_normalized("NFKC", t) else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
+
+
 def pieces(texts: pa.Array, boxes: pa.Array) -> Pieces:
     """Pieces of all pages; NULL and empty texts have none.  Lines without a box follow the page's last box, at the left edge."""
-    texts = pc.utf8_normalize(pc.replace_substring_regex(_flat(texts).fill_null(""), "\r\n?|\u2028|\u0085", "\n"), form="NFKC")
+    texts = normalised(pc.replace_substring_regex(_flat(texts).fill_null(""), "\r\n?|\u2028|\u0085", "\n"))
     boxes = _flat(boxes)
     lines = pc.split_pattern(texts, "\n")
     per_page = pc.list_value_length(lines).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .fm_index import FMIndex
-from .layout import joined, pieces
+from .layout import joined, normalised, pieces
 
 #: Least number of consecutive words that count as a passage.
 PASSAGE = 12
@@ -62,7 +62,7 @@ def prepare_items(rows: list[tuple[int, str | None]]) -> Items:
     ids, words = [], []
     for item_id, text in rows:
         own = " ".join(s for s in _sentences(text or "") if counts[_template(s)] < SHARED_BY)
-        found = _words(pc.utf8_normalize(pa.array([own], pa.string()), form="NFKC"))[0].to_pylist()
+        found = _words(normalised(pa.array([own], pa.string())))[0].to_pylist()
         if item_id is not None and len(found) >= PASSAGE:
             ids.append(item_id)
             words.append(found)
