@@ -18,7 +18,7 @@ _ENVELOPE = (
 def json_text(text: Column) -> Column:
     """A JSON string literal."""
     array = F.to_json(F.array(text))
-    return F.substr(array, F.lit(2), F.length(array) - 2)
+    return F.when(text.isNotNull(), F.substr(array, F.lit(2), F.length(array) - 2))
 
 
 def json_cell(value: Column) -> Column:
