@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.keys import plain_table, row_key
 from .instants import instant_micros
 
 #: Rows per hash bucket that the bucket count aims at.
 BUCKET_ROWS = 200_000
-# Key columns of tables whose key is not ``id``.
-KEYS = {"user_roles": ("org_id", "user_id")}
-
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d{1,3})?$"
 _DATELIKE = r"^\s*\d{4}-\d{2}-\d{2}([Tt ]\d{2}:\d{2}.*)?$"
 
@@ -48,21 +44,8 @@ def canonical_cell(value: Column) -> Column:
     )
 
 
-def plain_table(name: Column) -> Column:
-    return F.regexp_replace(name, r"^public\.", "")
-
-
-def row_key(table: Column, cells: Column, text_of: Callable[[Column], Column], keys: dict[str, tuple[str, ...]] = KEYS) -> Column:
-    """The key of a row from its map of column to cell; NULL if a key column is missing or NULL."""
-
-    def joined(columns: tuple[str, ...]) -> Column:
-        parts = [text_of(F.element_at(cells, c)) for c in columns]
-        return F.when(~F.greatest(*[p.isNull() for p in parts], F.lit(False)), F.concat_ws("|", *parts))
-
-    made = joined(("id",))
-    for name, columns in keys.items():
-        made = F.when(table == name, joined(columns)).otherwise(made)
-    return made
+def _key_text(value: Column) -> Column:
+    return F.coalesce(value["string_value"], value["int_value"].cast("string"), canonical_number(value["float_value"].cast("string")), value["bool_value"].cast("string"), value["timestamp_value"])
 
 
 def cells_by_row(copies: DataFrame) -> DataFrame:
@@ -72,15 +55,13 @@ def cells_by_row(copies: DataFrame) -> DataFrame:
     copy that is, is found by a map-side combining maximum, before the cells
     are spread.
     """
-    text = lambda c: F.coalesce(c.getField("string_value"), c.getField("int_value").cast("string"), canonical_number(c.getField("float_value").cast("string")), c.getField("bool_value").cast("string"), c.getField("timestamp_value"))
     table = plain_table(F.col("dml_table"))
-    first_of = F.map_from_entries(F.aggregate(F.arrays_zip("column_names", "column_values"), F.array().cast("array<struct<name:string,value:struct<string_value:string,int_value:bigint,float_value:double,bool_value:boolean,timestamp_value:string>>>"), lambda kept, x: F.when(x["column_names"].isNull() | F.exists(kept, lambda k: k["name"] == x["column_names"]), kept).otherwise(F.concat(kept, F.array(F.struct(x["column_names"].alias("name"), x["column_values"].alias("value")))))))
-    rows = copies.select((F.col("held_by") == "primary").alias("primary"), table.alias("dml_table"), first_of.alias("cells"), "read_at", "copy_row_id").where("primary is not null")
-    keyed = rows.withColumn("row_key", row_key(F.col("dml_table"), F.col("cells"), text)).where("row_key is not null")
-    entries = F.array_sort(F.map_entries("cells"))
-    latest = keyed.groupBy("primary", "dml_table", "row_key").agg(F.max(F.struct("read_at", "copy_row_id", entries.alias("entries"))).alias("last"))
-    spread = latest.select("primary", "dml_table", "row_key", F.explode("last.entries").alias("entry")).select("primary", "dml_table", "row_key", F.col("entry.key").alias("column_name"), F.col("entry.value").alias("value"))
-    return spread.withColumn("text", canonical_cell(F.col("value"))).drop("value").where("text is not null")
+    key = row_key(F.col("dml_table"), _key_text, (F.col("column_names"), F.col("column_values")))
+    rows = copies.select((F.col("held_by") == "primary").alias("primary"), table.alias("dml_table"), key.alias("row_key"), "read_at", "copy_row_id", "column_names", "column_values").where("primary is not null and row_key is not null")
+    latest = rows.groupBy("primary", "dml_table", "row_key").agg(F.max(F.struct("read_at", "copy_row_id", "column_names", "column_values")).alias("last"))
+    spread = latest.select("primary", "dml_table", "row_key", "last.column_names", F.posexplode(F.arrays_zip("last.column_names", "last.column_values")).alias("place", "cell"))
+    first = F.array_position("column_names", F.col("cell.column_names")) == F.col("place") + 1
+    return spread.where(first).select("primary", "dml_table", "row_key", F.col("cell.column_names").alias("column_name"), canonical_cell(F.col("cell.column_values")).alias("text")).where("text is not null")
 
 
 _EMPTY = pa.schema([(n, pa.string()) for n in ("dml_table", "row_key", "column_name", "text")]).empty_table()
