@@ -9,78 +9,71 @@ each step is a join or a map-side combining maximum.
 Updates that change the key are deletes of one key and inserts of another, but
 only if the old key is live and the new one is not.  That is settled first, in
 rounds, for the few keys such updates touch.
+
+Lists of columns are few and long, so events carry their number and meet the
+lists again at the end.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.keys import row_key
+from ..functions.position import score
 from ..model import plain_text
 from ..storage import written
-from .copydiff import KEYS, plain_table
 from .dedup import surplus_deliveries
-from ..functions.position import score
 
 _ID = ["stream_id", "dml_table"]
 _KEY = [*_ID, "row_key"]
+#: Lists of columns that are sent to every executor; more of them are joined by a shuffle.
+BROADCAST_LISTS = 100_000
+_ROWS = 2147483648
 
 
-def _part(name: str, names: Column, values: Column) -> Column:
-    """Text of the cell with the name; NULL if the name is not listed."""
-    return plain_text(F.get(values, F.array_position(names, name) - 1))
-
-
-def _key_of(table: Column, *listed: tuple[Column, Column]) -> Column:
-    """Key text from the first of the ``listed`` pairs of names and values that lists each key column; NULL if a part is missing."""
-
-    def part(name: str) -> Column:
-        found = F.lit(None).cast("string")
-        for names, values in reversed(listed):
-            found = F.when(F.array_contains(names, name), _part(name, names, values)).otherwise(found)
-        return found
-
-    def joined(columns: tuple[str, ...]) -> Column:
-        parts = [part(c) for c in columns]
-        missing = F.lit(False)
-        for p in parts:
-            missing = missing | p.isNull()
-        return F.when(~missing, F.concat_ws("|", *parts))
-
-    made = part("id")
-    for name, columns in KEYS.items():
-        made = F.when(table == name, joined(columns)).otherwise(made)
-    return made
+def _sequence(at: Column, row_no: Column) -> Column:
+    """One number that orders changes by score, then row; exact, and of a type that hash aggregation can hold."""
+    return (at.cast("decimal(20,0)") * F.lit(_ROWS).cast("decimal(10,0)") + row_no.cast("decimal(10,0)")).cast("decimal(32,0)")
 
 
 def accepted_events(changes: DataFrame) -> DataFrame:
-    """Each change once, without those that are refused: stream_id, dml_table, row_key, new_key, seq, names and kind.
+    """Each change once, without those that are refused: stream_id, dml_table, row_key, new_key, score, seq, list_no and kind.
 
     kind is insert, update, delete or, of an update that moves its row to
-    another key (``new_key``), move.  Refused are kinds other than insert,
-    update and delete in lower case, differing numbers of names and values (of
-    columns or old keys), updates and deletes without old keys, and changes
-    whose position is unreadable or whose key cannot be read (a key column
-    missing or NULL).  Of a name listed twice the first holds.
+    another key (``new_key``), move; ``list_no`` is the hash of the list of
+    columns.  Refused are kinds other than insert, update and delete in lower
+    case, differing numbers of names and values (of columns or old keys),
+    updates and deletes without old keys, and changes whose position is
+    unreadable or whose key cannot be read (a key column missing or NULL).
+    Of a name listed twice the first holds.
     """
     size = lambda c: F.coalesce(F.size(c), F.lit(0))
-    table = plain_table(F.col("dml_table"))
     own, old = (F.col("column_names"), F.col("column_values")), (F.col("old_key_names"), F.col("old_key_values"))
-    kind = F.col("dml_kind")
+    kind, table = F.col("dml_kind"), F.col("dml_table")
     fits = kind.isin("insert", "update", "delete") & (size("column_names") == size("column_values")) & (size("old_key_names") == size("old_key_values")) & ((kind == "insert") | (size("old_key_names") > 0))
     # The surplus is found on slim rows; a refused copy stands for its change like any other.
     event = changes.where(fits).where("stream_id is not null and row_no is not null and dml_table is not null").select(
         "delivery_id", *_ID, score(F.col("change_position")).alias("score"), "row_no", kind.alias("kind"),
-        F.when(kind == "insert", _key_of(table, own)).otherwise(_key_of(table, old)).alias("row_key"),
-        F.when(kind == "update", _key_of(table, own, old)).alias("new_key"),
-        F.when(kind != "delete", F.col("column_names")).alias("names"),
+        F.when(kind == "insert", row_key(table, plain_text, own)).otherwise(row_key(table, plain_text, old)).alias("row_key"),
+        F.when(kind == "update", row_key(table, plain_text, own, old)).alias("new_key"),
+        F.xxhash64("column_names").alias("list_no"),
     ).where("score is not null and row_key is not null")
     once = event.join(surplus_deliveries(changes), "delivery_id", "left_anti")
     moves = F.col("new_key") != F.col("row_key")
-    return once.select(*_KEY, F.when(moves, F.col("new_key")).alias("new_key"), F.struct("score", "row_no").alias("seq"), "names", F.when(moves, "move").otherwise(F.col("kind")).alias("kind"))
+    return once.select(*_KEY, F.when(moves, F.col("new_key")).alias("new_key"), "score", _sequence(F.col("score"), F.col("row_no")).alias("seq"), "list_no", F.when(moves, "move").otherwise(F.col("kind")).alias("kind"))
+
+
+def column_lists(changes: DataFrame) -> DataFrame:
+    """list_no and names of every distinct list of columns.  Two lists with one number would be an error."""
+    lists = written(changes.select("column_names").where("column_names is not null").distinct().select(F.xxhash64("column_names").alias("list_no"), F.array_distinct("column_names").alias("names")), "lists")
+    n, numbers = lists.agg(F.count("*"), F.countDistinct("list_no")).first()
+    if n != numbers:
+        raise ValueError("two lists of columns have the same number")
+    return F.broadcast(lists) if n <= BROADCAST_LISTS else lists
 
 
 def _settled_moves(touches: DataFrame, rounds: int = 1000) -> DataFrame:
-    """stream_id, dml_table, seq of the moves that succeed.
+    """The touches, with ``works`` for the moves that succeed.
 
     ``touches`` has, for each key that a move touches, its inserts, deletes
     and the moves from (``out``) and to (``in``) it.  A move is settled once
@@ -89,9 +82,9 @@ def _settled_moves(touches: DataFrame, rounds: int = 1000) -> DataFrame:
     settled, so the rounds are as many as the longest chain of moves.
     """
     order = Window.partitionBy(*_KEY).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    is_move = F.col("kind").isin("in", "out")
     now = touches.withColumn("works", F.lit(None).cast("boolean"))
     for _ in range(rounds):
-        is_move = F.col("kind").isin("in", "out")
         effect = (
             F.when(F.col("kind") == "insert", "live").when(F.col("kind") == "delete", "dead")
             .when(is_move & F.col("works").isNull(), "open")
@@ -101,20 +94,21 @@ def _settled_moves(touches: DataFrame, rounds: int = 1000) -> DataFrame:
         sides = seen.where(is_move & F.col("works").isNull()).groupBy(*_ID, "seq").agg(F.max(F.when(F.col("kind") == "out", F.col("before"))).alias("source"), F.max(F.when(F.col("kind") == "in", F.col("before"))).alias("target"))
         verdict = F.when((F.col("source") == "dead") | (F.col("target") == "live"), False).when((F.col("source") == "live") & (F.col("target") == "dead"), True)
         decided = sides.select(*_ID, "seq", verdict.alias("verdict")).where("verdict is not null")
-        now = written(now.join(decided, [*_ID, "seq"], "left").withColumn("works", F.coalesce("works", F.when(F.col("kind").isin("in", "out"), F.col("verdict")))).drop("verdict"), "moves")
-        if now.where(F.col("kind").isin("in", "out") & F.col("works").isNull()).isEmpty():
+        now = written(now.join(decided, [*_ID, "seq"], "left").withColumn("works", F.coalesce("works", F.when(is_move, F.col("verdict")))).drop("verdict"), "moves")
+        if now.where(is_move & F.col("works").isNull()).isEmpty():
             break
     return now
 
 
-def _moved_cells(events: DataFrame, moves: DataFrame, touched: DataFrame) -> DataFrame:
+def _moved_cells(events: DataFrame, moves: DataFrame, touched: DataFrame, lists: DataFrame) -> DataFrame:
     """Cells of the live rows whose key some move touches."""
     there = events.join(touched, _KEY, "left_semi")
-    plain = there.where("kind in ('insert', 'delete')").select(*_KEY, "seq", "kind", "names", F.lit(None).cast("string").alias("other"))
-    out = moves.select(*_KEY, "seq", F.lit("out").alias("kind"), "names", F.col("new_key").alias("other"))
-    into = moves.select(*_ID, F.col("new_key").alias("row_key"), "seq", F.lit("in").alias("kind"), "names", F.col("row_key").alias("other"))
+    what = ["seq", "score", "list_no"]
+    plain = there.where("kind in ('insert', 'delete')").select(*_KEY, *what, "kind", F.lit(None).cast("string").alias("other"))
+    out = moves.select(*_KEY, *what, F.lit("out").alias("kind"), F.col("new_key").alias("other"))
+    into = moves.select(*_ID, F.col("new_key").alias("row_key"), *what, F.lit("in").alias("kind"), F.col("row_key").alias("other"))
     settled = _settled_moves(plain.unionByName(out).unionByName(into))
-    updates = there.where("kind = 'update'").select(*_KEY, "seq", "kind", "names", F.lit(None).cast("string").alias("other"), F.lit(None).cast("boolean").alias("works"))
+    updates = there.where("kind = 'update'").select(*_KEY, *what, "kind", F.lit(None).cast("string").alias("other"), F.lit(None).cast("boolean").alias("works"))
     order = Window.partitionBy(*_KEY).orderBy("seq")
     effect = F.when(F.col("kind") == "insert", "live").when(F.col("kind") == "delete", "dead").when(F.col("works") & (F.col("kind") == "in"), "live").when(F.col("works") & (F.col("kind") == "out"), "dead")
     seen = settled.unionByName(updates).withColumn("effect", effect).withColumn("before", F.coalesce(F.last("effect", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit("dead")))
@@ -122,20 +116,30 @@ def _moved_cells(events: DataFrame, moves: DataFrame, touched: DataFrame) -> Dat
     lives = seen.withColumn("birth", F.last(F.when(born, F.col("seq")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     # What belongs to a life: its birth, updates while live, and its end.
     inside = lives.where(born | ((F.col("kind") == "update") & (F.col("before") == "live")) | ((F.col("effect") == "dead") & (F.col("before") == "live")))
-    inside = written(inside.select(*_KEY, "birth", "seq", "kind", "names", "other"), "lives")
+    inside = written(inside.select(*_KEY, "birth", *what, "kind", "other"), "lives")
     ends = inside.where("kind in ('delete', 'out')").select(*_KEY, "birth", F.when(F.col("kind") == "out", F.col("other")).alias("next_key"), F.when(F.col("kind") == "out", F.col("seq")).alias("next_birth"), F.lit(True).alias("ended"))
     chain = inside.where("kind in ('insert', 'in')").select(*_KEY, "birth").join(ends, [*_KEY, "birth"], "left").select(*_KEY, "birth", "next_key", "next_birth", (F.col("ended").isNull()).alias("alive"), F.col("row_key").alias("last_key"))
     # Follow the moves to the last life of each row, twice as far every round.
     chain = written(chain, "chain")
     while not chain.where("next_key is not null").isEmpty():
         step = chain.select(*_ID, F.col("row_key").alias("next_key"), F.col("birth").alias("next_birth"), F.col("next_key").alias("far_key"), F.col("next_birth").alias("far_birth"), F.col("alive").alias("far_alive"), F.col("last_key").alias("far_last"))
+        goes_on = F.col("next_key").isNotNull()
         chain = written(
-            chain.join(step, [*_ID, "next_key", "next_birth"], "left").select(*_KEY, "birth", F.col("far_key").alias("next_key"), F.col("far_birth").alias("next_birth"), F.when(F.col("next_key").isNotNull(), F.coalesce("far_alive", F.lit(False))).otherwise(F.col("alive")).alias("alive"), F.when(F.col("next_key").isNotNull(), F.col("far_last")).otherwise(F.col("last_key")).alias("last_key")),
+            chain.join(step, [*_ID, "next_key", "next_birth"], "left").select(
+                *_KEY, "birth", F.col("far_key").alias("next_key"), F.col("far_birth").alias("next_birth"),
+                F.when(goes_on, F.coalesce("far_alive", F.lit(False))).otherwise(F.col("alive")).alias("alive"), F.when(goes_on, F.col("far_last")).otherwise(F.col("last_key")).alias("last_key"),
+            ),
             "chain",
-        )
+        )
     last = chain.where("alive").select(*_KEY, "birth", "last_key")
     setting = inside.where("kind in ('insert', 'in', 'update')").join(last, [*_KEY, "birth"])
-    return setting.select(*_ID, F.col("last_key").alias("row_key"), F.explode("names").alias("column_name"), F.col("seq.score").alias("score")).where("column_name is not null").groupBy(*_KEY, "column_name").agg(F.max("score").alias("set_score"))
+    return _spread(setting.select(*_ID, F.col("last_key").alias("row_key"), "list_no", "score"), lists)
+
+
+def _spread(setting: DataFrame, lists: DataFrame) -> DataFrame:
+    """The last score at which each column of each row is set."""
+    cells = setting.join(lists, "list_no").select(*_KEY, F.explode("names").alias("column_name"), "score").where("column_name is not null")
+    return cells.groupBy(*_KEY, "column_name").agg(F.max("score").alias("set_score"))
 
 
 def current_cells(changes: DataFrame) -> DataFrame:
@@ -145,22 +149,25 @@ def current_cells(changes: DataFrame) -> DataFrame:
     row whose insert lists no columns beside the key has the key columns; an
     update of a row that is not live does nothing.
     """
+    lists = column_lists(changes)
     events = written(accepted_events(changes), "events", by="kind")
     inserts, deletes, updates, moves = (events.where(F.col("kind") == k) for k in ("insert", "delete", "update", "move"))
     touched = moves.select(*_KEY).unionByName(moves.select(*_ID, F.col("new_key").alias("row_key"))).distinct()
     # Inserts against later deletes of the same key; the first left is the birth.
     last_delete = deletes.groupBy(*_KEY).agg(F.max("seq").alias("deleted"))
-    births = inserts.join(last_delete, (_same(inserts, last_delete)) & (F.col("deleted") > F.col("seq")), "left_anti").groupBy(*_KEY).agg(F.min(F.struct("seq", "names")).alias("birth"))
-    if not moves.isEmpty():
+    births = inserts.join(last_delete, (_same(inserts, last_delete)) & (F.col("deleted") > F.col("seq")), "left_anti")
+    births = births.groupBy(*_KEY).agg(F.min("seq").alias("born"), F.min("score").alias("score"), F.min_by("list_no", "seq").alias("list_no"))
+    some_move = not moves.isEmpty()
+    if some_move:
         births = births.join(touched, _KEY, "left_anti")
     # Of updates that list the same columns only the last can count, so a key has at most as many as there are lists.
-    latest = updates.groupBy(*_KEY, "names").agg(F.max("seq").alias("seq"))
-    by_key = latest.groupBy(*_KEY).agg(F.collect_list(F.struct("seq", "names")).alias("later"))
-    setting = births.join(by_key, _KEY, "left").select(*_KEY, F.explode(F.concat(F.array("birth"), F.coalesce(F.filter("later", lambda u: u["seq"] > F.col("birth.seq")), F.array().cast("array<struct<seq:struct<score:bigint,row_no:int>,names:array<string>>>")))).alias("set"))
-    cells = setting.select(*_KEY, F.explode("set.names").alias("column_name"), F.col("set.seq.score").alias("score")).where("column_name is not null").groupBy(*_KEY, "column_name").agg(F.max("score").alias("set_score"))
-    if moves.isEmpty():
-        return cells
-    return cells.unionByName(_moved_cells(events, moves, touched))
+    latest = updates.groupBy(*_KEY, "list_no").agg(F.max("seq").alias("seq"), F.max("score").alias("score"))
+    by_key = latest.groupBy(*_KEY).agg(F.collect_list(F.struct("seq", "score", "list_no")).alias("later"))
+    none = F.array().cast("array<struct<seq:decimal(32,0),score:bigint,list_no:bigint>>")
+    sets = F.concat(F.array(F.struct(F.col("born").alias("seq"), "score", "list_no")), F.coalesce("later", none))
+    setting = births.join(by_key, _KEY, "left").select(*_KEY, "born", F.explode(sets).alias("set")).where("set.seq >= born").select(*_KEY, "set.list_no", "set.score")
+    cells = _spread(setting, lists)
+    return cells.unionByName(_moved_cells(events, moves, touched, lists)) if some_move else cells
 
 
 def _same(left: DataFrame, right: DataFrame) -> Column:
