@@ -81,7 +81,29 @@ def _references_sql() -> str:
     WHERE NOT c.is_removed AND c.ref IS NOT NULL AND (p.record_id IS NULL OR p.is_removed OR CAST(p.first_loaded AS DATE) > CAST(c.loaded_at AS DATE))"""
 
 
+_COPIES = r"""
+    WITH listed AS (
+        SELECT held_by, replace(dml_table, 'public.', '') AS dml_table, copy_row_id, read_at, unnest(column_names) AS column_name, unnest(column_values) AS v FROM table_copies),
+    spelt AS (
+        SELECT *, coalesce(v.string_value, CAST(v.int_value AS VARCHAR), CAST(v.float_value AS VARCHAR), CAST(v.bool_value AS VARCHAR), v.timestamp_value) AS plain,
+            CASE WHEN v.bool_value OR lower(v.string_value) IN ('t', 'true') THEN '#1.0' WHEN NOT v.bool_value OR lower(v.string_value) IN ('f', 'false') THEN '#0.0'
+                WHEN v.int_value IS NOT NULL THEN '#' || CAST(v.int_value AS DOUBLE)
+                WHEN v.float_value IS NOT NULL THEN '#' || v.float_value
+                WHEN regexp_matches(v.string_value, '^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$') THEN '#' || CAST(v.string_value AS DOUBLE)
+                WHEN v.timestamp_value IS NOT NULL THEN '@' || epoch_us(CAST(regexp_replace(v.timestamp_value, '([+-][0-9]{2})$', '\1:00') AS TIMESTAMPTZ))
+                ELSE '=' || v.string_value END AS canon FROM listed),
+    keyed AS (
+        SELECT held_by, dml_table, copy_row_id, CASE WHEN dml_table = 'user_roles' THEN max(plain) FILTER (WHERE column_name = 'org_id') || '|' || max(plain) FILTER (WHERE column_name = 'user_id') ELSE max(plain) FILTER (WHERE column_name = 'id') END AS row_key
+        FROM spelt GROUP BY held_by, dml_table, copy_row_id),
+    cells AS (SELECT DISTINCT held_by, dml_table, row_key, column_name, canon FROM spelt JOIN keyed USING (held_by, dml_table, copy_row_id) WHERE canon IS NOT NULL AND row_key IS NOT NULL),
+    p AS (SELECT * FROM cells WHERE held_by = 'primary'), r AS (SELECT * FROM cells WHERE held_by = 'replica')
+    SELECT DISTINCT dml_table, row_key, '' AS column_name, 'missing_in_replica' AS difference FROM p WHERE (dml_table, row_key) NOT IN (SELECT (dml_table, row_key) FROM r)
+    UNION ALL SELECT DISTINCT dml_table, row_key, '', 'missing_in_primary' FROM r WHERE (dml_table, row_key) NOT IN (SELECT (dml_table, row_key) FROM p)
+    UNION ALL SELECT dml_table, row_key, column_name, 'value' FROM p FULL JOIN r USING (dml_table, row_key, column_name)
+        WHERE p.canon IS DISTINCT FROM r.canon AND (dml_table, row_key) IN (SELECT (dml_table, row_key) FROM p) AND (dml_table, row_key) IN (SELECT (dml_table, row_key) FROM r)"""
+
 SQL = {
+    "p3_found": _COPIES,
     "p1_found": f"SELECT delivery_id FROM ({_RANKED}) WHERE place > 1",
     "p1_kept": f"SELECT delivery_id, stream_id, score, row_no FROM ({_RANKED}) WHERE place = 1",
     "p4_found": _references_sql(),
