@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.keys import row_key
+from ..functions.keys import joined_key, with_key_parts
 from ..functions.position import score
 from ..model import plain_text
 from ..storage import written
@@ -48,14 +48,18 @@ def accepted_events(changes: DataFrame) -> DataFrame:
     Of a name listed twice the first holds.
     """
     size = lambda c: F.coalesce(F.size(c), F.lit(0))
-    own, old = (F.col("column_names"), F.col("column_values")), (F.col("old_key_names"), F.col("old_key_values"))
-    kind, table = F.col("dml_kind"), F.col("dml_table")
+    kind = F.col("dml_kind")
     fits = kind.isin("insert", "update", "delete") & (size("column_names") == size("column_values")) & (size("old_key_names") == size("old_key_values")) & ((kind == "insert") | (size("old_key_names") > 0))
     # The surplus is found on slim rows; a refused copy stands for its change like any other.
-    event = changes.where(fits).where("stream_id is not null and row_no is not null and dml_table is not null").select(
+    slim = changes.where(fits).where("stream_id is not null and row_no is not null and dml_table is not null").select("delivery_id", *_ID, "change_position", "row_no", "dml_kind", "column_names", "column_values", "old_key_names", "old_key_values")
+    keyed = with_key_parts(slim, plain_text, {"own": ("column_names", "column_values"), "old": ("old_key_names", "old_key_values")})
+    # An update moves its row to the key that it lists; parts that it does not list stay.
+    new = F.zip_with("key_own", "key_old", lambda own, old: F.coalesce(own, old))
+    lists_part = F.size(F.array_compact("key_own")) > 0
+    event = keyed.select(
         "delivery_id", *_ID, score(F.col("change_position")).alias("score"), "row_no", kind.alias("kind"),
-        F.when(kind == "insert", row_key(table, plain_text, own)).otherwise(row_key(table, plain_text, old)).alias("row_key"),
-        F.when(kind == "update", row_key(table, plain_text, own, old)).alias("new_key"),
+        joined_key(F.when(kind == "insert", F.col("key_own")).otherwise(F.col("key_old"))).alias("row_key"),
+        F.when((kind == "update") & lists_part, joined_key(new)).alias("new_key"),
         F.xxhash64("column_names").alias("list_no"),
     ).where("score is not null and row_key is not null")
     once = event.join(surplus_deliveries(changes), "delivery_id", "left_anti")

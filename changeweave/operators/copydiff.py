@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.keys import plain_table, row_key
+from ..functions.keys import joined_key, plain_table, with_key_parts
 from .instants import instant_micros
 
 #: Rows per hash bucket that the bucket count aims at.
@@ -55,9 +55,9 @@ def cells_by_row(copies: DataFrame) -> DataFrame:
     copy that is, is found by a map-side combining maximum, before the cells
     are spread.
     """
-    table = plain_table(F.col("dml_table"))
-    key = row_key(F.col("dml_table"), _key_text, (F.col("column_names"), F.col("column_values")))
-    rows = copies.select((F.col("held_by") == "primary").alias("primary"), table.alias("dml_table"), key.alias("row_key"), "read_at", "copy_row_id", "column_names", "column_values").where("primary is not null and row_key is not null")
+    slim = copies.select((F.col("held_by") == "primary").alias("primary"), "dml_table", "read_at", "copy_row_id", "column_names", "column_values")
+    keyed = with_key_parts(slim, _key_text, {"own": ("column_names", "column_values")})
+    rows = keyed.select("primary", plain_table(F.col("dml_table")).alias("dml_table"), joined_key(F.col("key_own")).alias("row_key"), "read_at", "copy_row_id", "column_names", "column_values").where("primary is not null and row_key is not null")
     latest = rows.groupBy("primary", "dml_table", "row_key").agg(F.max(F.struct("read_at", "copy_row_id", "column_names", "column_values")).alias("last"))
     spread = latest.select("primary", "dml_table", "row_key", "last.column_names", F.posexplode(F.arrays_zip("last.column_names", "last.column_values")).alias("place", "cell"))
     first = F.array_position("column_names", F.col("cell.column_names")) == F.col("place") + 1
