@@ -741,7 +741,7 @@ def log_append(spark, folder):
     return change_log.read_log(spark, place).agg(F.lit('{"kind":"insert"}').alias("envelope"), F.count("*").alias("changes"), F.sum(F.length("payload")).alias("characters")).select("envelope", "changes", "characters")
 
 
-@query("SELECT 'INSERT INTO orders (o_orderkey, o_orderstatus) VALUES (' || o_orderkey || ', ' || coalesce( || o_orderstatus || , 'NULL') || ');' AS sql FROM orders")
+@query("SELECT 'INSERT INTO orders (o_orderkey, o_orderstatus) VALUES (' || o_orderkey || ', ' || coalesce('''' || o_orderstatus || '''', 'NULL') || ');' AS sql FROM orders")
 def stream_render(spark, folder):
     """Changes read as a stream of JSON, transformed and rendered batch by batch."""
     place = _place(spark, "render")
