@@ -102,7 +102,40 @@ _COPIES = r"""
     UNION ALL SELECT dml_table, row_key, column_name, 'value' FROM p FULL JOIN r USING (dml_table, row_key, column_name)
         WHERE p.canon IS DISTINCT FROM r.canon AND (dml_table, row_key) IN (SELECT (dml_table, row_key) FROM p) AND (dml_table, row_key) IN (SELECT (dml_table, row_key) FROM r)"""
 
+_INSTANTS = r"""WITH texts AS (
+    SELECT 'change_log' AS found_in, delivery_id AS record_id, column_names[i] AS column_name, column_values[i].timestamp_value AS raw, stream_id FROM (SELECT *, unnest(range(1, len(column_values) + 1)) AS i FROM change_log)
+    UNION ALL SELECT 'ddl_log', log_id, 'ddl_time', ddl_time, stream_id FROM ddl_log),
+trimmed AS (SELECT found_in, record_id, column_name, trim(raw, ' ' || chr(9) || chr(10) || chr(13)) AS t, server_zone AS zone, date_order FROM texts JOIN stream_sources USING (stream_id) WHERE raw IS NOT NULL),
+matched AS (SELECT *,
+    regexp_extract(t, '^(\d{4})-(\d\d)-(\d\d)(?:[Tt ](\d\d):(\d\d):(\d\d)(?:[.,](\d+))?(?: ?([Zz]|[A-Za-z]{2,5}|[+-]\d\d(?::?\d\d)?)(?: [A-Z]+| [+-]\d+)?(?:\[[^\]]*\])?)?)?$', ['y', 'mo', 'd', 'h', 'mi', 's', 'f', 'z']) AS iso,
+    regexp_extract(t, '^(\d{4})(\d\d)(\d\d)T(\d\d)(\d\d)(\d\d)Z$', ['y', 'mo', 'd', 'h', 'mi', 's']) AS packed,
+    regexp_extract(t, '^(\d\d?)/(\d\d?)/(\d{4})(?: (\d\d?):(\d\d):(\d\d)(?: (AM|PM))?)?$', ['a', 'b', 'y', 'h', 'mi', 's', 'half']) AS slash,
+    regexp_extract(t, '^[A-Za-z]{3}, (\d\d) ([A-Za-z]{3}) (\d{4}) (\d\d):(\d\d):(\d\d) GMT$', ['d', 'name', 'y', 'h', 'mi', 's']) AS mail
+    FROM trimmed),
+parts AS (SELECT found_in, record_id, column_name, t, zone,
+    CASE WHEN iso.y <> '' THEN iso.y || '-' || iso.mo || '-' || iso.d || ' ' || coalesce(nullif(iso.h, ''), '00') || ':' || coalesce(nullif(iso.mi, ''), '00') || ':' || coalesce(nullif(iso.s, ''), '00')
+        WHEN packed.y <> '' THEN packed.y || '-' || packed.mo || '-' || packed.d || ' ' || packed.h || ':' || packed.mi || ':' || packed.s
+        WHEN slash.y <> '' THEN slash.y || '-' || lpad(CASE WHEN date_order = 'dmy' THEN slash.b ELSE slash.a END, 2, '0') || '-' || lpad(CASE WHEN date_order = 'dmy' THEN slash.a ELSE slash.b END, 2, '0') || ' '
+            || lpad(CASE WHEN slash.h = '' THEN '0' WHEN slash.half = '' THEN slash.h ELSE CAST(TRY_CAST(slash.h AS INT) % 12 + CASE slash.half WHEN 'PM' THEN 12 ELSE 0 END AS VARCHAR) END, 2, '0') || ':' || coalesce(nullif(slash.mi, ''), '00') || ':' || coalesce(nullif(slash.s, ''), '00')
+        WHEN mail.y <> '' THEN mail.y || '-' || lpad(CAST(list_position(['jan', 'feb', 'mar', 'apr', 'may', 'jun', 'jul', 'aug', 'sep', 'oct', 'nov', 'dec'], lower(mail.name)) AS VARCHAR), 2, '0') || '-' || mail.d || ' ' || mail.h || ':' || mail.mi || ':' || mail.s
+        END AS wall,
+    CASE WHEN iso.y <> '' THEN rpad(left(iso.f, 6), 6, '0') ELSE '000000' END AS fraction,
+    CASE WHEN iso.y <> '' THEN iso.z WHEN packed.y <> '' OR mail.y <> '' THEN 'Z' ELSE '' END AS z FROM matched),
+walls AS (SELECT *, CASE WHEN left(wall, 4) NOT IN ('0000', '0001') THEN TRY_CAST(wall AS TIMESTAMP) END AS w FROM parts),
+abbreviations(zone, z, minutes) AS (VALUES ('Europe/Berlin', 'CET', 60), ('Europe/Berlin', 'CEST', 120), ('America/New_York', 'EST', -300), ('America/New_York', 'EDT', -240), ('Europe/London', 'GMT', 0), ('Europe/London', 'BST', 60),
+    ('Australia/Sydney', 'AEST', 600), ('Australia/Sydney', 'AEDT', 660), ('Asia/Kolkata', 'IST', 330)),
+offsets AS (SELECT w.*, CASE WHEN regexp_matches(w.z, '^[+-]') THEN CASE left(w.z, 1) WHEN '-' THEN -1 ELSE 1 END * (TRY_CAST(substr(w.z, 2, 2) AS INT) * 60 + TRY_CAST(coalesce(nullif(substr(replace(w.z, ':', ''), 4, 2), ''), '0') AS INT))
+        WHEN upper(w.z) IN ('Z', 'UTC') THEN 0 WHEN a.minutes IS NOT NULL THEN a.minutes WHEN upper(w.z) = 'GMT' THEN 0 END AS minutes
+    FROM walls w LEFT JOIN abbreviations a ON a.zone = w.zone AND a.z = upper(w.z)),
+instants AS (SELECT *, CASE
+    WHEN regexp_matches(t, '^\d{10}$') THEN TRY_CAST(t AS BIGINT) * 1000000 WHEN regexp_matches(t, '^\d{13}$') THEN TRY_CAST(t AS BIGINT) * 1000 WHEN regexp_matches(t, '^\d{16}$') THEN TRY_CAST(t AS BIGINT) WHEN regexp_matches(t, '^\d{19}$') THEN TRY_CAST(t AS BIGINT) // 1000
+    WHEN w IS NULL THEN NULL
+    WHEN z = '' THEN epoch_us(CASE WHEN timezone(zone, timezone(zone, w) - INTERVAL 1 HOUR) = w THEN timezone(zone, w) - INTERVAL 1 HOUR ELSE timezone(zone, w) END) + TRY_CAST(fraction AS BIGINT)
+    ELSE epoch_us(w) - CAST(minutes AS BIGINT) * 60000000 + TRY_CAST(fraction AS BIGINT) END AS utc_micros FROM offsets)
+SELECT found_in, record_id, column_name, utc_micros FROM instants WHERE utc_micros IS NOT NULL AND (w IS NOT NULL OR utc_micros BETWEEN 1672531200000000 AND 1798761599999999)"""
+
 SQL = {
+    "p2_found": _INSTANTS,
     "p3_found": _COPIES,
     "p1_found": f"SELECT delivery_id FROM ({_RANKED}) WHERE place > 1",
     "p1_kept": f"SELECT delivery_id, stream_id, score, row_no FROM ({_RANKED}) WHERE place = 1",
