@@ -16,7 +16,7 @@ import json
 import os
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -119,14 +119,17 @@ class Vocabulary:
         found = self.keys[at] == key
         return np.where(found, self.ranks[at], self.never), self.made[at]
 
+    @cached_property
+    def pairs(self) -> dict[int, tuple[int, int]]:
+        return dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.made.tolist())))
+
     def merge_long(self, data: bytes) -> list[int]:
         """One long slice, by a heap of its pairs."""
         ids = self.byte_ids[np.frombuffer(data, np.uint8)].tolist()
         n = len(ids)
         following, previous, dead = list(range(1, n + 1)), list(range(-1, n - 1)), [False] * n
-        array = np.array(ids, np.int64)
-        ranks, made = self.rank(array[:-1], array[1:])
-        heap = [(int(r), i, ids[i], ids[i + 1], int(m)) for i, (r, m) in enumerate(zip(ranks, made)) if r < self.never]
+        pairs = self.pairs
+        heap = [(*p[:1], i, ids[i], ids[i + 1], p[1]) for i in range(n - 1) if (p := pairs.get(ids[i] << 20 | ids[i + 1]))]
         heapq.heapify(heap)
         while heap:
             _, i, a, b, new = heapq.heappop(heap)
@@ -139,10 +142,8 @@ class Vocabulary:
                 previous[following[j]] = i
             for left in (previous[i], i):
                 right = following[left] if left >= 0 else n
-                if left >= 0 and right < n:
-                    r, m = self.rank(np.array([ids[left]]), np.array([ids[right]]))
-                    if r[0] < self.never:
-                        heapq.heappush(heap, (int(r[0]), left, ids[left], ids[right], int(m[0])))
+                if left >= 0 and right < n and (p := pairs.get(ids[left] << 20 | ids[right])):
+                    heapq.heappush(heap, (p[0], left, ids[left], ids[right], p[1]))
         return [x for x, d in zip(ids, dead) if not d]
 
     def merge(self, data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
