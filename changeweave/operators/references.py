@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..storage import written
+
 
 @dataclass(frozen=True)
 class Reference:
@@ -62,20 +64,18 @@ def orphan_references(tables: dict[str, DataFrame], removals: DataFrame, referen
     """
     names = sorted({r.table for r in references} | {r.target for r in references})
     removed = removals.select(F.trim(F.col("table_name")).alias("table_name"), canonical_uuid(F.col("record_id")).alias("record_id"), "removed_at").groupBy("table_name", "record_id").agg(F.max("removed_at").alias("removed_at"))
-    held = {}
+    # The records of all tables, one row per record and reference (records without one have a NULL field).
+    held = None
     for name in names:
-        versions = holding_versions(tables[name], sorted({r.field for r in references if r.table == name}))
-        gone = removed.where(F.col("table_name") == name).drop("table_name")
-        held[name] = versions.join(gone, "record_id", "left").withColumn("is_removed", F.coalesce(F.col("removed_at") >= F.col("created_at"), F.lit(False))).drop("removed_at")
-    children, long = None, None
-    for r in references:
-        child = held[r.table].where(~F.col("is_removed") & F.col(r.field).isNotNull()).select(
-            F.lit(r.table).alias("table_name"), "record_id", F.lit(r.field).alias("field_name"), F.lit(r.target).alias("target"), F.col(r.field).alias("key"), F.date_format("created_at", "yyyy-MM").alias("period"), "loaded_at"
-        )
-        children = child if children is None else children.unionByName(child)
-    for name in sorted({r.target for r in references}):
-        parent = held[name].select(F.lit(name).alias("target"), F.col("record_id").alias("key"), F.lit(1).alias("has_parent"), F.col("is_removed").cast("int").alias("gone"), F.to_date("first_loaded").alias("first_day"), F.lit(None).cast("date").alias("reference_day"))
-        long = parent if long is None else long.unionByName(parent)
+        own = [r for r in references if r.table == name]
+        versions = holding_versions(tables[name], sorted({r.field for r in own}))
+        kinds = [F.struct(F.lit(r.field).alias("field_name"), F.lit(r.target).alias("target"), F.col(r.field).alias("key")) for r in own] or [F.struct(F.lit(None).cast("string").alias("field_name"), F.lit(None).cast("string").alias("target"), F.lit(None).cast("string").alias("key"))]
+        part = versions.select(F.lit(name).alias("table_name"), "record_id", "first_loaded", "created_at", "loaded_at", F.explode(F.array(*kinds)).alias("r")).select("table_name", "record_id", "first_loaded", "created_at", "loaded_at", "r.*")
+        held = part if held is None else held.unionByName(part)
+    held = written(held.join(removed, ["table_name", "record_id"], "left").withColumn("is_removed", F.coalesce(F.col("removed_at") >= F.col("created_at"), F.lit(False))).drop("removed_at"), "records")
+    children = held.where("not is_removed and key is not null").select("table_name", "record_id", "field_name", "target", "key", F.date_format("created_at", "yyyy-MM").alias("period"), "loaded_at")
+    parents = held.where(F.col("table_name").isin(*{r.target for r in references}))
+    long = parents.select(F.col("table_name").alias("target"), F.col("record_id").alias("key"), F.lit(1).alias("has_parent"), F.col("is_removed").cast("int").alias("gone"), F.to_date("first_loaded").alias("first_day"), F.lit(None).cast("date").alias("reference_day"))
     tagged = children.select("target", "key", F.lit(0).alias("has_parent"), F.lit(0).alias("gone"), F.lit(None).cast("date").alias("first_day"), F.to_date("loaded_at").alias("reference_day"))
     status = long.unionByName(tagged).groupBy("target", "key").agg(F.max("has_parent").alias("has_parent"), F.max("gone").alias("gone"), F.max("first_day").alias("first_day"), F.min("reference_day").alias("reference_day"))
     suspect = status.where("reference_day is not null or has_parent = 0").where("has_parent = 0 or gone = 1 or first_day > reference_day").drop("reference_day")
