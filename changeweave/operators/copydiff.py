@@ -8,6 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.keys import joined_key, plain_table, with_key_parts
+from ..storage import written
 from .instants import instant_micros
 
 #: Rows per hash bucket that the bucket count aims at.
@@ -34,10 +35,12 @@ def canonical_cell(value: Column) -> Column:
     lower = F.lower(text)
     dated = F.coalesce(stamp, F.when(text.rlike(_DATELIKE), text))
     micros = instant_micros(dated, F.lit(0), F.lit(False), ["UTC"])
-    number = F.coalesce(value.getField("int_value").cast("string"), value.getField("float_value").cast("string"), F.when(text.rlike(_NUMBER), text))
+    whole = value.getField("int_value")
+    number = F.coalesce(value.getField("float_value").cast("string"), F.when(text.rlike(_NUMBER), text))
     truth = F.coalesce(value.getField("bool_value"), F.when(lower.isin("t", "true"), True).when(lower.isin("f", "false"), False))
     return (
-        F.when(truth.isNotNull(), F.when(truth, "#1").otherwise("#0"))
+        F.when(whole.isNotNull(), F.concat(F.lit("#"), whole.cast("string")))
+        .when(truth.isNotNull(), F.when(truth, "#1").otherwise("#0"))
         .when(number.isNotNull(), F.concat(F.lit("#"), canonical_number(number)))
         .when(dated.isNotNull(), F.coalesce(F.concat(F.lit("@"), micros.cast("string")), F.concat(F.lit("="), dated)))
         .when(text.isNotNull(), F.concat(F.lit("="), text))
@@ -126,7 +129,7 @@ def copy_differences(copies: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataF
     twice in a row the first holds; repeated rows of one side count once, as
     read last; an empty side makes every row of the other missing.
     """
-    cells = cells_by_row(copies)
+    cells = written(cells_by_row(copies), "cells", by="primary")
     buckets = max(8, -(-copies.count() // bucket_rows))
     cells = cells.withColumn("bucket", F.pmod(F.xxhash64("dml_table", "row_key"), F.lit(buckets)))
     left = cells.where("primary").drop("primary")
