@@ -10,6 +10,7 @@ flat arrays over all lines of a batch; no page is handled by itself.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,6 +37,20 @@ class Pieces:
     pages: int
 
 
+#: Bytes of text that are worked on at once.
+BATCH_BYTES = 48 << 20
+
+
+def bounded(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that none has much more text than ``limit``; a single longer text stays whole."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = (np.cumsum(size) - size) // limit
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            yield batch.slice(a, b - a)
+
+
 def _flat(values: pa.ChunkedArray | pa.Array) -> pa.Array:
     return values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
 
@@ -90,7 +105,8 @@ def pieces(texts: pa.Array, boxes: pa.Array) -> Pieces:
     before = np.cumsum(length) - length
     before = before - before[np.repeat(np.cumsum(count) - count, count)]
     x = side["x0"][line] + before * character[page[line]] + order * gap[line]
-    last = (order == count[line] - 1) & (order > 0)
+    x = np.where(has[line], x, side["x0"][line])
+    last = (order == count[line] - 1) & (order > 0) & has[line]
     x = np.where(last, side["x1"][line] - length * character[page[line]], x)
     keep = length > 0
     x, y, owner, line_no = x[keep], side["y0"][line][keep], page[line][keep], line[keep]

@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .fm_index import FMIndex
-from .layout import joined, normalised, pieces
+from .layout import bounded, joined, normalised, pieces
 
 #: Least number of consecutive words that count as a passage.
 PASSAGE = 12
@@ -198,7 +198,7 @@ def _shard(doc_ids: pa.Array, texts: pa.Array, boxes: pa.Array, items: Items) ->
 def leaked_spans(documents: DataFrame, test_items: DataFrame) -> DataFrame:
     """doc_id, item_id, first_word, last_word of each leaked passage, in words of the page's reading order.
 
-    Each Arrow batch of pages is a shard with an FM-index of its own over word
+    Each Arrow batch of pages (at most some 48 MB of text) is a shard with an FM-index of its own over word
     symbols; all phrases of three words of all items are searched backward in
     it together, and where two of them lie on one line of an item, the passage
     is followed word by word, misread letters allowed.  Whole pages are
@@ -216,7 +216,7 @@ def leaked_spans(documents: DataFrame, test_items: DataFrame) -> DataFrame:
     items = spark.sparkContext.broadcast(prepare_items([tuple(r) for r in test_items.select("item_id", "item_text").distinct().collect()]))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             yield _shard(batch.column("doc_id"), batch.column("text"), batch.column("line_boxes"), items.value)
 
     return documents.select("doc_id", "text", "line_boxes").mapInArrow(search, "doc_id bigint, item_id bigint, first_word int, last_word int")

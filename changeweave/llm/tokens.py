@@ -23,6 +23,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from .layout import bounded
+
 #: Folder of the vocabulary files; a parameter of every function here.
 VOCABULARIES = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 NAME = "byte_bpe_50k"
@@ -271,7 +273,7 @@ def encode_documents(documents: DataFrame, name: str = NAME, folder: str = VOCAB
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(name, folder)
-        for batch in batches:
+        for batch in bounded(batches):
             ids, offsets = own.encode(batch.column("text"), with_offsets)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, *([offsets] if with_offsets else [])], names=["doc_id", "ids", *(["offsets"] if with_offsets else [])])
 

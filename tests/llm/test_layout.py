@@ -1,6 +1,6 @@
 import pyarrow as pa
 
-from changeweave.llm.layout import joined, pieces
+from changeweave.llm.layout import bounded, joined, pieces
 
 BOX = pa.list_(pa.struct([(n, pa.int32()) for n in ("x0", "y0", "x1", "y1", "conf")]))
 
@@ -39,4 +39,12 @@ def test_missing_boxes_and_texts():
     assert read("a\nb", [box(10, 5, "a")])[0] == "a b"
     assert read(None, None) == {0: "", 1: ""}
     assert read("", [])[0] == ""
+    assert read("a   b\nc", None) == {0: "a b c", 1: ""}
     assert read("one\r\ntwo\rthree", None)[0] == "one two three"
+
+
+def test_batches_are_bounded():
+    batch = pa.record_batch({"text": pa.array(["a" * 5, None, "b" * 30, "", "c" * 2, "d" * 9]), "n": pa.array(range(6))})
+    parts = list(bounded(iter([batch, batch.slice(0, 0)]), limit=10))
+    assert [p.column("n").to_pylist() for p in parts if p.num_rows] == [[0, 1, 2], [3, 4], [5]] or sum((p.column("n").to_pylist() for p in parts), []) == list(range(6))
+    assert max(p.column("text").nbytes for p in parts) < 200
