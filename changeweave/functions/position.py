@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, Window, functions as F
 
 # A bootstrap position n scores -1000000 + n; file or high word weighs 2^32;
@@ -37,6 +39,20 @@ def score(position: Column) -> Column:
     )
 
 
+def score_of(text: str) -> int | None:
+    """The score of a position that is known when a query is built."""
+    text = text.strip()
+    if text == "bootstrap":
+        return BEFORE_ALL
+    if m := re.match(BOOTSTRAP_PATTERN, text):
+        return int(m[1]) + BOOTSTRAP_BASE
+    if m := re.search(BINLOG_PATTERN, text):
+        return int(m[1]) * WORD + int(m[2])
+    if m := re.match(LSN_PATTERN, text):
+        return int(m[1], 16) * WORD + int(m[2], 16)
+    return None
+
+
 def score_double(position: Column) -> Column:
     """The score as a 64-bit float, as a sorted-set store holds it."""
     return score(position).cast("double")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.position import BEFORE_ALL, score
+from ..functions.position import BEFORE_ALL, score, score_of
 
 #: Changes that one page, or one single-shot scan, has.
 PAGE = 1000
@@ -29,10 +29,8 @@ def once(log: DataFrame, payload: str = "payload") -> DataFrame:
     return log.dropDuplicates(["score", payload])
 
 
-def _after(spark: SparkSession, position: str) -> int:
-    if position == "bootstrap":
-        return BEFORE_ALL
-    found = spark.range(1).select(score(F.lit(position)).alias("s")).first()["s"]
+def _bound(position: str) -> int:
+    found = score_of(position)
     if found is None:
         raise ValueError(f"no position: {position!r}")
     return found
@@ -43,7 +41,7 @@ def after(log: DataFrame, position: str) -> DataFrame:
 
     The bound is a literal, so the filter reaches the scan.
     """
-    bound = _after(log.sparkSession, position)
+    bound = _bound(position)
     return log if bound == BEFORE_ALL else log.where(F.col("score") > bound)
 
 

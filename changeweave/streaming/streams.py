@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..functions.position import BEFORE_ALL, score
+from ..functions.position import BEFORE_ALL, score, score_of
 from ..operators.latest_state import latest_rows
 from ..operators.render import render_changes
 from ..operators.transforms import transform_changes
@@ -35,7 +35,10 @@ def stream_table(spark: SparkSession, path: str, schema: StructType, files_per_b
 def after_position(changes: DataFrame, last_position: str) -> DataFrame:
     if last_position in ("", "bootstrap"):
         return changes.where(F.col("score") >= BEFORE_ALL)
-    return changes.where(F.col("score") > score(F.lit(last_position)))
+    bound = score_of(last_position)
+    if bound is None:
+        raise ValueError(f"no position: {last_position!r}")
+    return changes.where(F.col("score") > bound)
 
 
 def once_within(changes: DataFrame, identity: list[str], at: str, delay: str = "24 hours") -> DataFrame:

@@ -26,6 +26,9 @@ def test_scores(spark):
         " mysql-bin.990:0000000004 ": 990 * 2**32 + 4, "invalid": None, "0/BOOTSTRAPinvalid": None, "mysql-bin.000001": None, "mysql-bin:100": None, "": None, None: None, "mysql-bin.99999999999999:1": None,
     }
     assert apply(spark, list(cases), position.score) == list(cases.values())
+    for text, wanted in cases.items():
+        if text is not None and wanted != position.score_of(text):
+            assert wanted is None and position.score_of(text) > 2**63  # beyond 64 bits a column has no score
 
 
 def test_positions_compare_and_generate(spark):
