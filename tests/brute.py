@@ -145,3 +145,49 @@ def instant(text, zone, dmy):
         digits = z[1:].replace(":", "").ljust(4, "0")
         offset = timedelta(hours=int(digits[:2]), minutes=int(digits[2:])) * (-1 if z[0] == "-" else 1)
     return ((wall - datetime(1970, 1, 1) - offset) // timedelta(seconds=1)) * 10**6 + micros
+
+
+def drift(files, statements, databases):
+    """Changes of columns between consecutive files of each table, statement by statement."""
+    seen = {}
+    for r in files:
+        k = (r["stream_id"], r["dml_table"])
+        f = seen.setdefault(k, {}).setdefault(r["file_id"], {"score": score(r["first_position"]), "tags": {}})
+        for n, v in zip(r["column_names"], r["column_values"]):
+            tags = f["tags"].setdefault(n.lower(), set())
+            for field, x in (v or {}).items():
+                if x is not None and x not in ("", "<nil>"):
+                    tags.add(field)
+    moves = defaultdict(set)
+    name = r'["`]?(\w+)["`]?'
+    for s in statements:
+        text = re.sub(r"/\*.*?\*/|--[^\n]*", " ", s["ddl_text"] or "", flags=re.S).strip().rstrip(";").strip()
+        m = re.match(rf"(?is)alter\s+table\s+(?:if\s+exists\s+)?(?:only\s+)?([\w\"`.]+)\s+(.*)$", text)
+        if m:
+            table = re.sub(r'["`]', "", m[1]).lower().removeprefix(databases[s["stream_id"]] + ".")
+            moves[s["stream_id"], table].add((score(s["change_position"]), m[2]))
+    out = set()
+    for (stream, table), versions in seen.items():
+        order = sorted(versions, key=lambda f: (versions[f]["score"], f))
+        for a, b in zip(order, order[1:]):
+            old, new = versions[a]["tags"], versions[b]["tags"]
+            now = {c: c for c in old}  # original -> current
+            for _, clauses in sorted(x for x in moves[stream, table.lower()] if versions[a]["score"] < x[0] < versions[b]["score"]):
+                for clause in clauses.split(","):
+                    clause = clause.strip()
+                    m = re.match(rf"(?is)rename\s+(?:column\s+)?{name}\s+to\s+{name}$", clause) or re.match(rf"(?is)change\s+(?:column\s+)?{name}\s+{name}\s", clause)
+                    d = re.match(rf"(?is)drop\s+(?:column\s+)?(?:if\s+exists\s+)?{name}", clause)
+                    if m:
+                        now = {o: m[2].lower() if c == m[1].lower() else c for o, c in now.items()}
+                    elif d:
+                        now = {o: c for o, c in now.items() if c != d[1].lower()}
+            renamed = {o: c for o, c in now.items() if o != c and c in new}
+            pairs = {**{c: c for c in old if c in new and c not in renamed and c not in renamed.values()}, **renamed}
+            for o, c in pairs.items():
+                if o != c:
+                    out.add((stream, table, b, "renamed", o, c))
+                if old[o] and new[c] and old[o] != new[c]:
+                    out.add((stream, table, b, "retyped", o, c))
+            out |= {(stream, table, b, "removed", o, "") for o in old if o not in pairs}
+            out |= {(stream, table, b, "added", "", c) for c in new if c not in pairs.values()}
+    return out
