@@ -7,8 +7,9 @@ columns.  Nothing is replayed in order, so nothing has to be gathered by key:
 each step is a join or a map-side combining maximum.
 
 Updates that change the key are deletes of one key and inserts of another, but
-only if the old key is live and the new one is not.  That is settled first, in
-rounds, for the few keys such updates touch.
+only if the old key is live and the new one is not.  That is settled first, for
+the few keys such updates touch: in rounds while they settle most of the moves,
+then, what hangs on long chains, in one pass in order.
 
 Lists of columns are few and long, so events carry their number and meet the
 lists again at the end.
@@ -16,6 +17,9 @@ lists again at the end.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.keys import joined_key, with_key_parts
@@ -76,19 +80,22 @@ def column_lists(changes: DataFrame) -> DataFrame:
     return F.broadcast(lists) if n <= BROADCAST_LISTS else lists
 
 
-def _settled_moves(touches: DataFrame, rounds: int = 1000) -> DataFrame:
+def _settled_moves(touches: DataFrame) -> DataFrame:
     """The touches, with ``works`` for the moves that succeed.
 
     ``touches`` has, for each key that a move touches, its inserts, deletes
     and the moves from (``out``) and to (``in``) it.  A move is settled once
     the state of both keys before it is known; each round settles at least the
     first open move of every stream, in practice all whose earlier moves are
-    settled, so the rounds are as many as the longest chain of moves.
+    settled.  Rounds go on while each leaves at most half of the open moves;
+    the rest hang on long chains (a key that is moved from and to very often)
+    and are settled in order.
     """
     order = Window.partitionBy(*_KEY).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     is_move = F.col("kind").isin("in", "out")
     now = touches.withColumn("works", F.lit(None).cast("boolean"))
-    for _ in range(rounds):
+    open_moves = None
+    while True:
         effect = (
             F.when(F.col("kind") == "insert", "live").when(F.col("kind") == "delete", "dead")
             .when(is_move & F.col("works").isNull(), "open")
@@ -99,9 +106,45 @@ def _settled_moves(touches: DataFrame, rounds: int = 1000) -> DataFrame:
         verdict = F.when((F.col("source") == "dead") | (F.col("target") == "live"), False).when((F.col("source") == "live") & (F.col("target") == "dead"), True)
         decided = sides.select(*_ID, "seq", verdict.alias("verdict")).where("verdict is not null")
         now = written(now.join(decided, [*_ID, "seq"], "left").withColumn("works", F.coalesce("works", F.when(is_move, F.col("verdict")))).drop("verdict"), "moves")
-        if now.where(is_move & F.col("works").isNull()).isEmpty():
-            break
-    return now
+        left = now.where(is_move & F.col("works").isNull()).count()
+        if not left:
+            return now
+        if open_moves is not None and left * 2 > open_moves:
+            return written(_settled_in_order(now), "moves")
+        open_moves = left
+
+
+def _settled_in_order(touches: DataFrame) -> DataFrame:
+    """The touches with every open move settled, by one pass over each table's touches of the keys that open moves touch.
+
+    Rows come sorted, so of a table only the live ones of those keys are held.
+    """
+    is_open = F.col("kind").isin("in", "out") & F.col("works").isNull()
+    keys = touches.where(is_open).select(*_KEY).distinct()
+    rest = touches.join(keys, _KEY, "left_semi").repartition(*_ID).sortWithinPartitions(*_ID, "seq")
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, at, verdict, live = None, None, False, set()
+        for batch in batches:
+            works = []
+            columns = [batch.column(c).to_pylist() for c in (*_ID, "seq", "row_key", "kind", "other", "works")]
+            for stream, name, seq, key, kind, other, done in zip(*columns):
+                if (stream, name) != table:
+                    table, at, live = (stream, name), None, set()
+                if done is None and kind in ("in", "out"):
+                    # The two sides of a move stand together and are settled at the first.
+                    if seq != at:
+                        source, target = (key, other) if kind == "out" else (other, key)
+                        at, verdict = seq, source in live and target not in live
+                    done = verdict
+                works.append(done)
+                if kind == "insert" or kind == "in" and done:
+                    live.add(key)
+                elif kind == "delete" or kind == "out" and done:
+                    live.discard(key)
+            yield batch.set_column(batch.schema.get_field_index("works"), "works", pa.array(works, pa.bool_()))
+
+    return touches.join(keys, _KEY, "left_anti").unionByName(rest.mapInArrow(settle, rest.schema))
 
 
 def _moved_cells(events: DataFrame, moves: DataFrame, touched: DataFrame, lists: DataFrame) -> DataFrame:
