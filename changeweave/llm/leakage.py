@@ -21,10 +21,13 @@ PASSAGE = 12
 PHRASE = 3
 #: Items are held by every executor; more than so many characters in all are refused.
 MAX_ITEM_CHARACTERS = 64_000_000
-#: A sentence shared by so many items is an instruction.
+#: A short first or last sentence is an instruction if so many texts with nothing else in common share it.
 SHARED_BY = 3
 # What is cut off words at both ends.
 PUNCTUATION = ".,;:!?\"'()[]*«»„“”‘’·&-‐¬­–—…"
+# What instructions begin with, and that they speak of the item.
+_TELLS = r"(?i)((please|bitte|veuillez)\s+)?(read|answer|choose|select|decide|complete|consider|lies|lest|lesen|beantworte\w*|wähle\w*|entscheide\w*|lisez|lis|lire|réponde[zs]|choisissez|complétez)\b"
+_SPEAKS = r"(?i)\b(passages?|texts?|questions?|statements?|answers?|paragraphs?|abschnitte?s?|textes?|fragen?|aussagen?|antwort\w*|réponses?|énoncés?)\b"
 
 
 def _words(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -44,11 +47,44 @@ def _template(sentence: str) -> str:
     return re.sub(r"[\"«„“][^\"»“”]*[\"»“”]", '""', sentence)
 
 
+def _by_form(sentence: str) -> bool:
+    """Whether a sentence at an end of an item tells the reader what to do with it, or asks about it or about a word of it."""
+    speaks = bool(re.search(_SPEAKS, sentence))
+    asks = sentence.rstrip().endswith("?") and len(sentence.split()) < PASSAGE and (speaks or '""' in _template(sentence))
+    return asks or speaks and bool(re.match(_TELLS, sentence))
+
+
+def _by_count(texts: set[str]) -> set[str]:
+    """Templates of short sentences at an end of SHARED_BY texts whose middles differ: a passage under several questions, or an item under several numbers, shares its middle as well."""
+    middles = defaultdict(set)
+    counts: Counter = Counter()
+    for text in sorted(texts):
+        sentences = [_template(s) for s in _sentences(text.strip())]
+        middle = set(sentences[1:-1])
+        for end in {sentences[0], sentences[-1]} if middle else ():
+            if len(end.split()) < PASSAGE and not middle & middles[end]:
+                middles[end] |= middle
+                counts[end] += 1
+    return {t for t, n in counts.items() if n >= SHARED_BY}
+
+
+def _without_instructions(text: str, shared: set[str]) -> str:
+    """The text without the instructions at its ends; nothing is cut from within, so no words are joined that do not stand together."""
+    sentences = _sentences(text.strip())
+    is_one = lambda s: _template(s) in shared or _by_form(s)
+    while sentences and is_one(sentences[0]):
+        del sentences[0]
+    while sentences and is_one(sentences[-1]):
+        del sentences[-1]
+    return " ".join(sentences)
+
+
 @dataclass
 class Items:
     """The test items: words of each without instructions, and all their phrases as symbols."""
 
-    ids: list[int]
+    #: of each item the numbers under which it is kept
+    ids: list[list[int]]
     words: list[list[str]]
     vocabulary: pa.Array
     phrases: np.ndarray
@@ -58,14 +94,13 @@ class Items:
 
 def prepare_items(rows: list[tuple[int, str | None]]) -> Items:
     """Items without text, or with fewer words than a passage, cannot leak and are left out."""
-    counts = Counter(t for _, text in rows for t in {_template(s) for s in _sentences(text or "")})
-    ids, words = [], []
+    shared = _by_count({text for _, text in rows if text})
+    numbers: dict[tuple[str, ...], list[int]] = defaultdict(list)
     for item_id, text in rows:
-        own = " ".join(s for s in _sentences(text or "") if counts[_template(s)] < SHARED_BY)
-        found = _words(normalised(pa.array([own], pa.string())))[0].to_pylist()
+        found = _words(normalised(pa.array([_without_instructions(text or "", shared)], pa.string())))[0].to_pylist()
         if item_id is not None and len(found) >= PASSAGE:
-            ids.append(item_id)
-            words.append(found)
+            numbers[tuple(found)].append(item_id)
+    ids, words = list(numbers.values()), [list(w) for w in numbers]
     vocabulary = sorted({w for ws in words for w in ws})
     number = {w: i + 2 for i, w in enumerate(vocabulary)}  # 0 ends the text, 1 is any other word
     places = defaultdict(list)
@@ -188,8 +223,9 @@ def _shard(doc_ids: pa.Array, texts: pa.Array, boxes: pa.Array, items: Items) ->
             covered[r, i].append((j - back_j, j + ahead_j))
             if ahead_i + back_i >= PASSAGE:
                 base_word = a - int(first_word[np.searchsorted(owner, owner[r])])
-                for n, v in zip(_SPANS.names, (int(owner[r]), items.ids[i], base_word + j - back_j, base_word + j + ahead_j - 1)):
-                    out[n].append(v)
+                for item_id in items.ids[i]:
+                    for n, v in zip(_SPANS.names, (int(owner[r]), item_id, base_word + j - back_j, base_word + j + ahead_j - 1)):
+                        out[n].append(v)
     made = {n: pa.array(v, _SPANS.field(n).type) for n, v in out.items()}
     made["doc_id"] = doc_ids.take(made["doc_id"])
     return pa.RecordBatch.from_pydict(made, schema=_SPANS)

@@ -76,6 +76,19 @@ def test_instructions_alone_are_no_case(spark):
     assert leaked_items(page(spark, [column(head)]), items).count() == 0
 
 
+def test_shared_passages_are_no_instructions(spark):
+    """One passage under three questions, and one item under four numbers; an instruction that stands in one item only."""
+    second = "Nobody at Wenby had asked for lanterns so the eleven were sold to a sailor from Orel within the week."
+    questions = ["Who counted them?", "Where did the baker live?", "Which of these statements agrees with the text?"]
+    rows = [(i, f"{ITEM}. {second} {q}") for i, q in enumerate(questions)] + [(i, f"{second.replace('Wenby', 'Tamstead')} {ITEM.replace('Nolford', 'Ab')}.") for i in range(10, 14)]
+    alone = "Please read the short passage on the next page and then choose one of the four answers below it."
+    rows.append((20, f"{alone} A widow at Kaville gave seven violins to the clerk of Ulau and he sold every one of them at noon."))
+    items = spark.createDataFrame([(i, "a", "en", t) for i, t in rows], ITEMS)
+    found = {tuple(r) for r in leaked_items(page(spark, [column(second), column(second.replace("Wenby", "Tamstead")), column(alone)]), items).collect()}
+    assert {(1, 0), (1, 1), (1, 2), (2, 10), (2, 11), (2, 12), (2, 13)} <= found
+    assert not {d for d, _ in found} - {1, 2}
+
+
 def test_empty_tables(spark):
     docs, items = page(spark, [column(ITEM)]), spark.createDataFrame([(1, "a", "en", ITEM)], ITEMS)
     assert leaked_items(docs.limit(0), items).count() == 0
