@@ -59,8 +59,8 @@ def orphan_references(tables: dict[str, DataFrame], removals: DataFrame, referen
 
     Defined cases: NULL or blank references and references of removed records
     are none; text that is no uuid is compared as it stands; a NULL created_at
-    gives a NULL period and such a record cannot be removed; a parent without
-    loaded_at is never late.
+    gives a NULL period and such a record cannot be removed; a parent or
+    reference without loaded_at is never late, but may be missing or deleted.
     """
     names = sorted({r.table for r in references} | {r.target for r in references})
     removed = removals.select(F.trim(F.col("table_name")).alias("table_name"), canonical_uuid(F.col("record_id")).alias("record_id"), "removed_at").groupBy("table_name", "record_id").agg(F.max("removed_at").alias("removed_at"))
@@ -75,10 +75,10 @@ def orphan_references(tables: dict[str, DataFrame], removals: DataFrame, referen
     held = written(held.join(removed, ["table_name", "record_id"], "left").withColumn("is_removed", F.coalesce(F.col("removed_at") >= F.col("created_at"), F.lit(False))).drop("removed_at"), "records")
     children = held.where("not is_removed and key is not null").select("table_name", "record_id", "field_name", "target", "key", F.date_format("created_at", "yyyy-MM").alias("period"), "loaded_at")
     parents = held.where(F.col("table_name").isin(*{r.target for r in references}))
-    long = parents.select(F.col("table_name").alias("target"), F.col("record_id").alias("key"), F.lit(1).alias("has_parent"), F.col("is_removed").cast("int").alias("gone"), F.to_date("first_loaded").alias("first_day"), F.lit(None).cast("date").alias("reference_day"))
-    tagged = children.select("target", "key", F.lit(0).alias("has_parent"), F.lit(0).alias("gone"), F.lit(None).cast("date").alias("first_day"), F.to_date("loaded_at").alias("reference_day"))
-    status = long.unionByName(tagged).groupBy("target", "key").agg(F.max("has_parent").alias("has_parent"), F.max("gone").alias("gone"), F.max("first_day").alias("first_day"), F.min("reference_day").alias("reference_day"))
-    suspect = status.where("reference_day is not null or has_parent = 0").where("has_parent = 0 or gone = 1 or first_day > reference_day").drop("reference_day")
+    long = parents.select(F.col("table_name").alias("target"), F.col("record_id").alias("key"), F.lit(1).alias("has_parent"), F.lit(0).alias("has_reference"), F.col("is_removed").cast("int").alias("gone"), F.to_date("first_loaded").alias("first_day"), F.lit(None).cast("date").alias("reference_day"))
+    tagged = children.select("target", "key", F.lit(0).alias("has_parent"), F.lit(1).alias("has_reference"), F.lit(0).alias("gone"), F.lit(None).cast("date").alias("first_day"), F.to_date("loaded_at").alias("reference_day"))
+    status = long.unionByName(tagged).groupBy("target", "key").agg(F.max("has_parent").alias("has_parent"), F.max("has_reference").alias("has_reference"), F.max("gone").alias("gone"), F.max("first_day").alias("first_day"), F.min("reference_day").alias("reference_day"))
+    suspect = status.where("has_reference = 1").where("has_parent = 0 or gone = 1 or first_day > reference_day").drop("reference_day", "has_reference")
     reason = F.when(F.col("has_parent") == 0, "missing").when(F.col("gone") == 1, "deleted").when(F.col("first_day") > F.to_date("loaded_at"), "late")
     return children.join(suspect, ["target", "key"]).withColumn("reason", reason).where("reason is not null").select("table_name", "record_id", "field_name", "period", "reason")
 

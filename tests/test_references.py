@@ -43,6 +43,15 @@ def test_reasons(spark):
     assert sum(r.orphans for r in orphan_counts(found).collect()) == 4
 
 
+def test_references_without_load_time(spark):
+    """All references to a removed and to a missing parent have no loaded_at."""
+    orgs = [(uuid(3), None, "c", "", day(1), day(1), day(1)), (uuid(4), None, "d", "", day(1), day(1), day(9))]
+    users = [(uuid(100 + n), uuid(n), "", "", "", day(2), day(2), None) for n in (3, 4, 77)]
+    tables = {"organizations": spark.createDataFrame(orgs, O), "users": spark.createDataFrame(users, U), "subscriptions": spark.createDataFrame([], S), "credit_cards": spark.createDataFrame([], C)}
+    found = orphan_references(tables, spark.createDataFrame([("organizations", uuid(3), day(5))], R))
+    assert sorted((r.record_id, r.reason) for r in found.collect()) == [(uuid(103), "deleted"), (uuid(177), "missing")]
+
+
 def test_against_sql(spark):
     folder = "/root/testdata/sf0.001"
     names = ("organizations", "users", "subscriptions", "credit_cards", "removals")
