@@ -16,8 +16,13 @@ from functools import lru_cache
 
 import numpy as np
 
-FIRST_YEAR, LAST_YEAR = 1900, 2100
+#: No zone changes before; after 2100 the rules in force repeat with the calendar, of which the table holds one cycle.
+FIRST_YEAR, LAST_YEAR = 1800, 2500
+#: Seconds of the calendar's 400 years.
+_CYCLE = 146_097 * 86_400
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+# A day before the end, as the table is made up to the end in UTC.
+_LAST_WALL = int((datetime(LAST_YEAR, 1, 1, tzinfo=timezone.utc) - _EPOCH).total_seconds()) - 86_400
 
 
 @dataclass(frozen=True)
@@ -30,8 +35,9 @@ class ZoneTable:
     abbreviations: dict[str, int]
 
     def offset_at_wall(self, wall: np.ndarray) -> np.ndarray:
-        """Offset in seconds for wall-clock seconds; of a reading shown twice the earlier instant's, of a skipped one the offset before."""
-        return self.offsets[np.searchsorted(self.walls, wall, side="right")]
+        """Offset in seconds for wall-clock seconds; of a reading shown twice the earlier instant's, of a skipped one the offset before.  Years beyond the table have the offsets of the same year of its last cycle."""
+        beyond = np.maximum(-((_LAST_WALL - 1 - wall) // _CYCLE), 0)
+        return self.offsets[np.searchsorted(self.walls, wall - beyond * _CYCLE, side="right")]
 
 
 def database_version() -> str:

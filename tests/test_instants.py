@@ -1,6 +1,8 @@
+import zoneinfo
 from datetime import datetime, timezone
 
 import brute
+import numpy as np
 import pytest
 from fixtures import DDL_LOG, SOURCES, change, dicts, log
 from pyspark.sql import functions as F
@@ -72,3 +74,14 @@ def test_against_brute_force(spark):
             wanted.append(("ddl_log", r["log_id"], "ddl_time", u))
     got = [tuple(r) for r in normalised_instants(log_, ddl, sources).collect()]
     assert sorted(got, key=repr) == sorted(wanted, key=repr)
+
+
+def test_offsets_of_all_years():
+    """Against the database's own offsets, through the years that text can name."""
+    for name in ("Europe/Berlin", "America/New_York", "Australia/Sydney", "Asia/Kolkata", "Africa/Casablanca", "UTC"):
+        zone = zoneinfo.ZoneInfo(name)
+        times = [datetime(year, month, 15, 12) for year in (2, 1500, 1850, 1899, 1950, 2024, 2099, 2101, 2499, 2500, 2501, 2899, 2900, 3000, 6400, 9999) for month in (1, 4, 7, 12)]
+        times += [datetime(9999, 12, 31, 23), datetime(2499, 12, 31, 23), datetime(2499, 12, 30, 23), datetime(2500, 1, 1)]
+        wall = np.array([int((t - datetime(1970, 1, 1)).total_seconds()) for t in times])
+        wanted = [int(t.replace(tzinfo=zone).utcoffset().total_seconds()) for t in times]
+        assert zone_table(name).offset_at_wall(wall).tolist() == wanted, name
