@@ -30,10 +30,10 @@ def test_moves(spark):
 
 
 def test_long_chains_of_moves(spark):
-    """One key that is moved from and to 1200 times, some of them in vain, each hanging on the one before."""
+    """One key that is moved from and to 4000 times, some of them in vain, each hanging on the one before."""
     rng = random.Random(11)
     rows = [change(1, "0/1", "insert", {"id": "hot", "x": 1}), change(2, "0/2", "insert", {"id": "k1", "x": 1})]
-    for n in range(3, 1203):
+    for n in range(3, 4003):
         one, two = ("hot", f"k{rng.randrange(4)}")[:: rng.choice((1, -1))]
         rows.append(change(n, f"0/{n:X}", "update", {"id": two, "y": n}, {"id": one}))
     df = log(spark, rows)
