@@ -62,6 +62,38 @@ def _ranked(rows: DataFrame, identity: list[str], first: list[str], salts: int)
     return winners.unionByName(losers).drop("__salt", "__part_rank")
 
 
+def newly_delivered(new: DataFrame, stored: DataFrame | None, identity: Sequence[str], first: Sequence[str]) -> DataFrame:
+    """The rows of ``new`` that are to be stored: of every identifier the copy that stays, if it comes before what is stored.
+
+    New and stored copies are ranked together, split by frequency as in
+    ``rank_copies``.  Of the stored side only the columns of ``identity`` and
+    ``first`` are read, and only identifiers that the new rows have go on.  A
+    stored copy that a new one comes before stays where it is; ``stored_once``
+    leaves it out.  Storing the result after every batch and reading with
+    ``stored_once`` gives the same rows whatever the batches and their order.
+
+    Defined cases: rows with a NULL in their identifier are all stored; without
+    new rows nothing is; ``stored`` may be None or empty.
+    """
+    identity, first = list(identity), list(first)
+    here = new.withColumn("__new", F.lit(True))
+    if stored is not None:
+        ids = new.where(_all_set(identity)).select(*identity).distinct()
+        rivals = stored.select(*dict.fromkeys([*identity, *first])).join(ids, identity, "left_semi").withColumn("__new", F.lit(False))
+        here = here.unionByName(rivals, allowMissingColumns=True)
+    # Of a new and a stored copy that are equal in ``first`` the stored one stays.
+    return rank_copies(here, identity, [*first, "__new"]).where(F.col(RANK) == 1).where("__new").drop(RANK, "__new")
+
+
+def stored_once(stored: DataFrame, identity: Sequence[str], first: Sequence[str]) -> DataFrame:
+    """What batches of ``newly_delivered`` stored, each identifier once."""
+    return rank_copies(stored, identity, first).where(F.col(RANK) == 1).drop(RANK)
+
+
+#: What makes two deliveries copies (beside the score of the position), and which of them stays.
+DELIVERY, EARLIEST = ("stream_id", "score", "row_no"), ("received_at", "delivery_id")
+
+
 def delivered_once(changes: DataFrame) -> DataFrame:
     """The change log with one copy of every change of every stream, plus ``score``.
 
@@ -70,10 +102,10 @@ def delivered_once(changes: DataFrame) -> DataFrame:
     delivery_id.  Deliveries whose position is unreadable stay all.
     """
     scored = changes.withColumn("score", score(F.col("change_position")))
-    return rank_copies(scored, ["stream_id", "score", "row_no"], ["received_at", "delivery_id"]).where(F.col(RANK) == 1).drop(RANK)
+    return rank_copies(scored, DELIVERY, EARLIEST).where(F.col(RANK) == 1).drop(RANK)
 
 
 def surplus_deliveries(changes: DataFrame) -> DataFrame:
     """delivery_id of every delivery that repeats an earlier one."""
     slim = changes.select("delivery_id", "stream_id", score(F.col("change_position")).alias("score"), "row_no", "received_at")
-    return surplus_copies(slim, ["stream_id", "score", "row_no"], ["received_at", "delivery_id"]).select("delivery_id")
+    return surplus_copies(slim, DELIVERY, EARLIEST).select("delivery_id")

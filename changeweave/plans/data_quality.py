@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.position import score
 from ..operators import apply_log, copydiff, dedup, instants, references, schema_drift
 from ..storage import table, written
 
@@ -16,6 +17,21 @@ def p1_kept(spark: SparkSession, folder: str) -> DataFrame:
     return dedup.delivered_once(table(spark, folder, "change_log")).select("delivery_id", "stream_id", "score", "row_no")
 
 
+#: Batches in which p1_incremental takes the log.
+BATCHES = 5
+
+
+def p1_incremental(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole log in batches that have nothing to do with its order, each against what is stored by then."""
+    log = table(spark, folder, "change_log").withColumn("score", score(F.col("change_position"))).select("delivery_id", *dedup.DELIVERY, "received_at")
+    stored = None
+    for n in range(BATCHES):
+        batch = log.where(F.pmod(F.xxhash64("delivery_id"), F.lit(BATCHES)) == n)
+        won = written(dedup.newly_delivered(batch, stored, dedup.DELIVERY, dedup.EARLIEST), "delivered")
+        stored = won if stored is None else stored.unionByName(won)
+    return dedup.stored_once(stored, dedup.DELIVERY, dedup.EARLIEST).select("delivery_id", *dedup.DELIVERY)
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return instants.normalised_instants(*[table(spark, folder, n) for n in ("change_log", "ddl_log", "stream_sources")])
 
@@ -49,7 +65,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return apply_log.current_cells(table(spark, folder, "change_log"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p2_found, p3_found, p4_found, p4_counts, p5_found, p5_unified, p6_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p1_incremental, p2_found, p3_found, p4_found, p4_counts, p5_found, p5_unified, p6_found)}
 
 _SCORED = r"""
     SELECT *, CASE
@@ -138,6 +154,7 @@ SQL = {
     "p2_found": _INSTANTS,
     "p3_found": _COPIES,
     "p1_found": f"SELECT delivery_id FROM ({_RANKED}) WHERE place > 1",
+    "p1_incremental": f"SELECT delivery_id, stream_id, score, row_no FROM ({_RANKED}) WHERE place = 1",
     "p1_kept": f"SELECT delivery_id, stream_id, score, row_no FROM ({_RANKED}) WHERE place = 1",
     "p4_found": _references_sql(),
     "p4_counts": f"SELECT table_name, field_name, period, reason, count(*) AS orphans FROM ({_references_sql()}) GROUP BY ALL",

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.position import BEFORE_ALL, score, score_of
+from ..operators.dedup import newly_delivered, stored_once
 from ..operators.latest_state import latest_rows
 from ..operators.render import render_changes
 from ..operators.transforms import transform_changes
@@ -46,6 +47,37 @@ def once_within(changes: DataFrame, identity: list[str], at: str, delay: str = "
     return changes.withWatermark(at, delay).dropDuplicatesWithinWatermark(identity)
 
 
+def store_once(changes: DataFrame, store: str, checkpoint: str, identity: list[str], first: list[str]) -> StreamingQuery:
+    """Store each change once under ``store``, however late its copies come: what is stored is never forgotten.
+
+    Every batch is ranked together with the stored copies of its identifiers
+    and written under its own number; a batch that is repeated after a failure
+    replaces what it wrote.  Read with ``read_once``.
+    """
+    kept = changes.schema
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = _batches(spark, store, kept)
+        stored = before.where(F.col("batch") != number).drop("batch") if before is not None else None
+        newly_delivered(batch, stored, identity, first).write.mode("overwrite").parquet(f"{store}/batch={number}")
+
+    return changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _batches(spark: SparkSession, store: str, schema: StructType) -> DataFrame | None:
+    """What batches wrote, with ``batch``; None before the first."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return None
+    return spark.read.schema(StructType([*schema.fields, StructField("batch", IntegerType())])).parquet(store)
+
+
+def read_once(spark: SparkSession, store: str, identity: list[str], first: list[str]) -> DataFrame:
+    """The changes under ``store``, each once."""
+    return stored_once(spark.read.parquet(store).drop("batch"), identity, first)
+
+
 def replicate(changes: DataFrame, config: TransformConfig, dialect: str, sink: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Transform and render each batch and hand it to ``sink``, by score within the batch.
 
