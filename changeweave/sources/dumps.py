@@ -1,20 +1,22 @@
 """Plain-text dumps of both databases as change logs.
 
 A dump is a sequence, so each file is split into statements by one task, as a
-stream of lines; everything after that, typing and conversion, is spread by
-row.
+stream of lines of which only the statement at hand is held; everything after
+that, typing and conversion, is spread by row.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..functions.position import bootstrap_text
+from ..functions.position import bootstrap_sequence, bootstrap_text
 from ..model import CELL
 from .infer import infer_cell
 
@@ -68,7 +70,9 @@ _PG_KINDS: list[tuple[str, str]] = [
 KEPT_DDL = ("CREATE_TABLE", "CREATE_INDEX", "ALTER_TABLE", "CREATE_SEQUENCE", "ALTER_SEQUENCE", "CREATE_FUNCTION", "CREATE_TRIGGER", "CREATE_EVENT_TRIGGER", "DROP", "TRUNCATE", "COMMENT", "GRANT")
 SKIPPED = ("SET", "TRANSACTION", "CREATE_PUBLICATION", "ALTER_PUBLICATION", "DROP_PUBLICATION", "CREATE_SUBSCRIPTION", "ALTER_SUBSCRIPTION", "DROP_SUBSCRIPTION")
 DDL_PREFIXES = ("CREATE", "ALTER", "DROP", "RENAME", "TRUNCATE")
-_TABLE_AFTER = r"(?is)^\s*(?:create\s+(?:unlogged\s+|temp(?:orary)?\s+)?table\s+(?:if\s+not\s+exists\s+)?|alter\s+(?:table|sequence)\s+(?:if\s+exists\s+)?(?:only\s+)?|create\s+sequence\s+(?:if\s+not\s+exists\s+)?|create\s+(?:unique\s+)?index\s+\S+\s+on\s+(?:only\s+)?|drop\s+table\s+(?:if\s+exists\s+)?|truncate\s+(?:table\s+)?(?:only\s+)?|insert\s+into\s+|copy\s+)[`\"]?([\w.]+)"
+_NAME = r'(?:`[^`]+`|"(?:[^"]|"")+"|[\w$]+)'
+_NAMES = rf"{_NAME}(?:\.{_NAME})*"
+_TABLE_AFTER = r"(?is)^\s*(?:create\s+(?:unlogged\s+|temp(?:orary)?\s+)?table\s+(?:if\s+not\s+exists\s+)?|alter\s+(?:table|sequence)\s+(?:if\s+exists\s+)?(?:only\s+)?|create\s+sequence\s+(?:if\s+not\s+exists\s+)?|create\s+(?:unique\s+)?index\s+\S+\s+on\s+(?:only\s+)?|drop\s+table\s+(?:if\s+exists\s+)?|truncate\s+(?:table\s+)?(?:only\s+)?|insert\s+(?:ignore\s+)?into\s+|copy\s+)(" + _NAMES + ")"
 
 
 def statement_kind(sql: Column) -> Column:
@@ -81,7 +85,7 @@ def statement_kind(sql: Column) -> Column:
 
 def statement_table(sql: Column) -> Column:
     """The table that a statement is about; NULL where it names none."""
-    found = F.regexp_extract(sql, _TABLE_AFTER, 1)
+    found = F.translate(F.regexp_extract(sql, _TABLE_AFTER, 1), '`"', "")
     return F.when(found != "", found)
 
 
@@ -105,67 +109,114 @@ def is_internal(sql: Column, prefix: str = INTERNAL_PREFIX) -> Column:
     return F.coalesce(bare.startswith(prefix), F.lit(False)) | F.coalesce(named, F.lit(False))
 
 
+# The words that are written in capitals.
+_KEYWORDS = ("create", "table", "index", "alter", "drop", "insert", "select", "update", "delete")
+
+
 def normalise_keywords(sql: Column) -> Column:
-    """Statement keywords in capitals, outside of quotes as a rule."""
-    for word in ("create", "table", "insert", "into", "values", "update", "delete", "from", "where", "alter", "drop", "select", "index", "set"):
+    """The statement without blanks around it, its keywords in capitals wherever they stand, texts included."""
+    sql = F.regexp_replace(sql, r"^\s+|\s+$", "")
+    for word in _KEYWORDS:
         sql = F.regexp_replace(sql, rf"(?i)\b{word}\b", word.upper())
     return sql
 
 
+#: Arguments of a COPY header: the table, and the list of columns in parentheses if there is one.
+_COPY = rf'(?i)^COPY\s+({_NAMES})\s*(?:\(((?:"(?:[^"]|"")*"|[^)"])*)\))?'
+
+
+def _bare(name: Column) -> Column:
+    quoted = name.startswith('"')
+    return F.when(quoted, F.replace(F.substr(name, F.lit(2), F.length(name) - 2), F.lit('""'), F.lit('"'))).otherwise(name)
+
+
 def copy_header(line: Column) -> Column:
-    """Struct of table and columns of a COPY header."""
-    columns = F.regexp_extract(line, r"(?i)^COPY\s+[\w.\"]+\s*\(([^)]*)\)", 1)
-    return F.struct(F.replace(F.regexp_extract(line, r"(?i)^COPY\s+([\w.\"]+)", 1), F.lit('"')).alias("table"), F.when(columns != "", F.transform(F.split(columns, ","), lambda c: F.trim(F.replace(c, F.lit('"'))))).otherwise(F.array().cast("array<string>")).alias("columns"))
+    """Struct of table and columns of a COPY header; names may be quoted and hold any character."""
+    parts = F.transform(F.regexp_extract_all(F.regexp_extract(line, _COPY, 1), F.lit(_NAME), 0), _bare)
+    columns = F.transform(F.regexp_extract_all(F.regexp_extract(line, _COPY, 2), F.lit(_NAME), 0), _bare)
+    return F.struct(F.array_join(parts, ".").alias("table"), columns.alias("columns"))
 
 
 def mysql_table(sql: Column) -> Column:
     """The table of a mysql statement."""
-    found = F.regexp_extract(F.replace(sql, F.lit("`")), _TABLE_AFTER, 1)
-    return F.when(found != "", found)
+    return statement_table(sql)
+
 
+_TUPLES = {
+    False: re.compile(r"""(?<!\w)[eE]'(?:[^'\\]|\\.|'')*'|'(?:[^']|'')*'|"(?:[^"]|"")*"|[(),]""", re.S),
+    True: re.compile(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|[(),]""", re.S),
+}
 
-def _split_values(text: str, backslash: bool) -> tuple[list[list[str]], int]:
-    """Tuples of raw values of a VALUES clause, and where it ends."""
-    rows, row, value, depth, quote, i = [], [], [], 0, "", 0
-    while i < len(text):
-        c = text[i]
-        if quote:
-            value.append(c)
-            if c == "\\" and backslash and i + 1 < len(text):
-                value.append(text[i + 1])
-                i += 1
-            elif c == quote:
-                if text[i + 1 : i + 2] == quote:
-                    value.append(quote)
-                    i += 1
-                else:
-                    quote = ""
-        elif c in "'\"":
-            quote = c
-            value.append(c)
-        elif c == "(":
+
+def _split_values(text: str, backslash: bool) -> list[list[str]]:
+    """Tuples of raw values of a VALUES clause; what follows the last tuple is left out."""
+    rows: list[list[str]] = []
+    row: list[str] = []
+    depth = start = 0
+    for m in _TUPLES[backslash].finditer(text):
+        c = m[0]
+        if c == "(":
+            if not depth and text[start : m.start()].strip(" \t\r\n,"):
+                break
             depth += 1
-            if depth > 1:
-                value.append(c)
-        elif c == ")":
+            start = m.end() if depth == 1 else start
+        elif c == ")" and depth:
             depth -= 1
-            if depth == 0:
-                row.append("".join(value))
-                rows.append(row)
-                row, value = [], []
-            else:
-                value.append(c)
+            if not depth:
+                rows.append([*row, text[start : m.start()]])
+                row, start = [], m.end()
         elif c == "," and depth == 1:
-            row.append("".join(value))
-            value = []
-        elif depth:
-            value.append(c)
-        elif not c.isspace() and c != ",":
-            break
-        i += 1
-    return rows, i
+            row.append(text[start : m.start()])
+            start = m.end()
+    return rows
+
+
+# What opens a quote or comment in each dialect, and what closes it.
+_OPENING = {
+    "pg": re.compile(r"""--|/\*|(?<!\w)[eE]'|'|"|(?<![\w$])\$(?:[A-Za-z_]\w*)?\$|;"""),
+    "mysql": re.compile(r"""--(?=\s|$)|\#|/\*|'|"|`|;"""),
+}
+_CLOSING = {"'": re.compile("'"), '"': re.compile('"'), "`": re.compile("`"), "/*": re.compile(r"\*/"), "e'": re.compile(r"\\.|'", re.S)}
+_CLOSING_BACKSLASH = {"'": re.compile(r"\\.|'", re.S), '"': re.compile(r'\\.|"', re.S)}
+
+
+class _Quotes:
+    """What is open at the end of the lines read so far: a text, a name, a comment, or a body in dollar quotes."""
+
+    def __init__(self, dialect: str):
+        self.opening = _OPENING[dialect]
+        self.closing = _CLOSING | (_CLOSING_BACKSLASH if dialect == "mysql" else {})
+        self.open = ""
+
+    def ends(self, line: str) -> bool:
+        """Read a line; whether its last word outside of quotes and comments is a semicolon."""
+        at, ended = 0, False
+        while at < len(line):
+            if self.open:
+                m = re.compile(re.escape(self.open)).search(line, at) if self.open.startswith("$") else self.closing[self.open].search(line, at)
+                if m is None:
+                    return False
+                at = m.end()
+                if not m[0].startswith("\\"):
+                    self.open = ""
+                continue
+            m = self.opening.search(line, at)
+            if line[at : m.start() if m else len(line)].strip():
+                ended = False
+            if m is None or m[0] in ("--", "#"):
+                break
+            at = m.end()
+            if m[0] == ";":
+                ended = True
+            else:
+                self.open = m[0].lower()
+                if self.open.startswith("$"):
+                    self.open = m[0]
+                ended = ended and self.open == "/*"
+        return ended and not self.open
 
 
+# Escapes in texts, and (below, in order) those that the ``like_reference`` forms replace.
 _ESCAPES = {"n": "\n", "r": "\r", "t": "\t", "0": "\0", "b": "\b", "Z": "\x1a"}
 
 
@@ -173,6 +224,8 @@ def _clean(value: str, dialect: str, like_reference: bool) -> str | None:
     value = value.strip()
     if value.upper() == "NULL":
         return "" if like_reference else None
+    if dialect == "pg" and not like_reference and value[:2] in ("E'", "e'") and value[-1] == "'":
+        return re.sub(r"''|\\(.)", lambda m: "'" if m[1] is None else _ESCAPES.get(m[1], m[1]) if m[1] in "nrtb" else m[1], value[2:-1], flags=re.S)
     if len(value) >= 2 and value[0] == value[-1] and value[0] in "'\"":
         quote, value = value[0], value[1:-1]
         if dialect == "mysql" and not like_reference:
@@ -185,21 +238,25 @@ def _clean(value: str, dialect: str, like_reference: bool) -> str | None:
     return value
 
 
-_INSERT = re.compile(r'\s*insert\s+(?:ignore\s+)?into\s+((?:[`"]?[\w$]+[`"]?\.)?[`"]?[\w$]+[`"]?)\s*(?:\(([^)]*)\))?\s*(?:overriding\s+\w+\s+value\s+)?values\s*', re.I | re.S)
+_COLUMNS = r'\(((?:`[^`]*`|"(?:[^"]|"")*"|[^)`"])*)\)'
+_INSERT = re.compile(rf"\s*insert\s+(?:ignore\s+)?into\s+({_NAMES})\s*(?:{_COLUMNS})?\s*(?:overriding\s+\w+\s+value\s+)?values\s*", re.I | re.S)
+
+
+def _unquoted(names: str) -> list[str]:
+    """Names of a list or of a path, without their quotes."""
+    return [n[1:-1].replace(n[0] * 2, n[0]) if n[0] in "`\"" else n for n in re.findall(_NAME, names)]
 
 
 def _insert(sql: str, dialect: str, like_reference: bool) -> Statement | None:
     m = _INSERT.match(sql)
     if not m:
         return None
-    table = re.sub(r'[`"]', "", m[1])
-    if dialect == "mysql":
-        table = table.rpartition(".")[2]
-    columns = tuple(re.sub(r'[`"\s]', "", c) for c in m[2].split(",")) if m[2] else ()
-    rows, _ = _split_values(sql[m.end() :], dialect == "mysql")
+    path = _unquoted(m[1])
+    columns = tuple(_unquoted(m[2])) if m[2] else ()
+    rows = _split_values(sql[m.end() :], dialect == "mysql")
     if like_reference and dialect == "pg":
         rows = rows[:1]
-    return Statement("dml", table, columns, tuple(tuple(_clean(v, dialect, like_reference) for v in r) for r in rows))
+    return Statement("dml", path[-1] if dialect == "mysql" else ".".join(path), columns, tuple(tuple(_clean(v, dialect, like_reference) for v in r) for r in rows))
 
 
 def _copy_cell(value: str, like_reference: bool) -> str | None:
@@ -217,23 +274,29 @@ def _kind(sql: str) -> str:
 
 
 def _named(sql: str) -> str:
-    m = re.match(_TABLE_AFTER, sql.replace("`", ""))
-    return m[1] if m else ""
+    m = re.match(_TABLE_AFTER, sql)
+    return ".".join(_unquoted(m[1])) if m else ""
 
 
 def _internal(sql: str, table: str, prefix: str) -> bool:
     return table.rpartition(".")[2].lower().startswith(prefix) or re.search(rf"(?i)(?:function|trigger)\s+(?:public\.)?{prefix}|^\s*(?:alter|drop|comment|grant)\b.*[ .]{prefix}", sql) is not None
 
 
+_COPY_FROM = re.compile(_COPY + r"\s+FROM\s+stdin")
+
+
 def pg_statements(lines: Iterator[str], like_reference: bool = False, prefix: str = INTERNAL_PREFIX) -> Iterator[Statement]:
-    """Statements of a plain pg_dump, in order; DumpError for what no dump has.
+    """Statements of a plain pg_dump, in order; DumpError for what no dump has, and for a dump that ends inside a statement.
 
     ``like_reference`` reproduces that parser where it differs: rows of COPY
     data that are blank or begin with ``--`` or a backslash are lost, of a
-    multi-row INSERT only the first row counts, and NULL is the empty text.
+    multi-row INSERT only the first row counts, NULL is the empty text,
+    statements end at every line that ends with a semicolon outside of dollar
+    quotes, and an open end is dropped.
     """
     statement: list[str] = []
-    quote = ""
+    tag_open = ""
+    quotes = _Quotes("pg")
     copying: Statement | None = None
     rows: list[tuple[str | None, ...]] = []
     for line in lines:
@@ -249,17 +312,20 @@ def pg_statements(lines: Iterator[str], like_reference: bool = False, prefix: st
                     yield Statement("dml", copying.table, copying.columns, tuple(rows))
                     rows = []
             continue
-        if not quote and not statement and (line.startswith("--") or not line.strip() or line.startswith("\\")):
+        if not statement and (line.startswith("--") or not line.strip() or line.startswith("\\")):
             continue
-        if not quote and not statement and (m := re.match(r'COPY\s+([\w."]+)\s*(?:\(([^)]*)\))?\s+FROM\s+stdin', line, re.I)):
-            table = m[1].replace('"', "")
-            skip = table.rpartition(".")[2].startswith(prefix)
-            copying = Statement("dml", "" if skip else table, tuple(c.strip().replace('"', "") for c in m[2].split(",")) if m[2] else ())
+        if not statement and (m := _COPY_FROM.match(line)):
+            path = _unquoted(m[1])
+            copying = Statement("dml", "" if path[-1].startswith(prefix) else ".".join(path), tuple(_unquoted(m[2])) if m[2] else ())
             continue
         statement.append(line)
-        for tag in re.findall(r"\$(?:[A-Za-z_]\w*)?\$", line):
-            quote = tag if not quote else "" if tag == quote else quote
-        if quote or not line.rstrip().endswith(";"):
+        if like_reference:
+            for tag in re.findall(r"\$(?:[A-Za-z_]\w*)?\$", line):
+                tag_open = tag if not tag_open else "" if tag == tag_open else tag_open
+            ended = not tag_open and line.rstrip().endswith(";")
+        else:
+            ended = quotes.ends(line)
+        if not ended:
             continue
         sql = "\n".join(statement).strip()
         statement = []
@@ -277,14 +343,18 @@ def pg_statements(lines: Iterator[str], like_reference: bool = False, prefix: st
             continue
         else:
             raise DumpError(f"unexpected {kind} statement: {sql[:200]}")
+    if not like_reference and (copying is not None or "".join(statement).strip()):
+        raise DumpError(f"the dump ends inside {'COPY data' if copying is not None else 'a statement'}: {' '.join(statement)[:200]}")
 
 
+# Statements of a session, which are left out.
 _SESSION = ("SET ", "LOCK TABLES", "UNLOCK TABLES", "START TRANSACTION", "COMMIT", "USE ")
 
 
 def mysql_statements(lines: Iterator[str], like_reference: bool = False, prefix: str = INTERNAL_PREFIX) -> Iterator[Statement]:
     """Statements of a mysqldump, in order; statements that cannot be read are left out."""
     statement: list[str] = []
+    quotes = _Quotes("mysql")
     delimiter = ";"
     for line in lines:
         line = line.rstrip("\r\n")
@@ -298,12 +368,11 @@ def mysql_statements(lines: Iterator[str], like_reference: bool = False, prefix:
             if bare.upper().startswith(_SESSION):
                 continue
         statement.append(line)
-        if not bare.endswith(delimiter):
-            continue
+        quotes.ends(line)
+        if not bare.endswith(delimiter) or quotes.open and not like_reference:
+            continue  # the statement goes on, perhaps inside a text
         sql = "\n".join(statement).strip().removesuffix(delimiter).strip()
-        if sql.upper().startswith("INSERT ") and not like_reference and _open_quote(sql):
-            continue  # the line ends inside a text
-        statement = []
+        statement, quotes.open = [], ""
         if sql.upper().startswith("INSERT "):
             made = _insert(sql, "mysql", like_reference)
             if made and not made.table.lower().startswith(prefix) and made.rows:
@@ -312,39 +381,61 @@ def mysql_statements(lines: Iterator[str], like_reference: bool = False, prefix:
             table = _named(sql)
             if not table.lower().startswith(prefix):
                 yield Statement("ddl", table, sql=sql)
-
-
-def _open_quote(sql: str) -> bool:
-    return bool(re.sub(r"'(?:[^'\\]|\\.|'')*'", "", sql, flags=re.S).count("'"))
+    if not like_reference and "".join(statement).strip():
+        raise DumpError(f"the dump ends inside a statement: {' '.join(statement)[:200]}")
 
 
 _SCHEMA = "file string, statement bigint, kind string, table string, columns array<string>, rows array<array<string>>, sql string, changes_before bigint"
 _ARROW = pa.schema([("file", pa.string()), ("statement", pa.int64()), ("kind", pa.string()), ("table", pa.string()), ("columns", pa.list_(pa.string())), ("rows", pa.list_(pa.list_(pa.string()))), ("sql", pa.string()), ("changes_before", pa.int64())])
 
 
+def _numbered(file: str, statements: Iterator[Statement]) -> Iterator[pa.RecordBatch]:
+    """Statements of one file in batches, each with its number and that of the changes before it."""
+    held: list[dict] = []
+    before = size = 0
+    for number, s in enumerate(statements):
+        held.append({"file": file, "statement": number, "kind": s.kind, "table": s.table, "columns": list(s.columns), "rows": [list(r) for r in s.rows], "sql": s.sql, "changes_before": before})
+        before, size = before + (len(s.rows) if s.kind == "dml" else 1), size + len(s.rows) + 1
+        if size >= 10 * CHUNK:
+            yield pa.RecordBatch.from_pylist(held, schema=_ARROW)
+            held, size = [], 0
+    yield pa.RecordBatch.from_pylist(held, schema=_ARROW)
+
+
+_PARSERS = {"pg": pg_statements, "mysql": mysql_statements}
+
+
 def dump_statements(texts: DataFrame, dialect: str, like_reference: bool = False, prefix: str = INTERNAL_PREFIX) -> DataFrame:
-    """Statements of dump files (columns ``file`` and ``text``), numbered within each file, with the number of changes before each."""
-    parse = {"pg": pg_statements, "mysql": mysql_statements}[dialect]
+    """Statements of dumps held as texts (columns ``file`` and ``text``), numbered within each file, with the number of changes before each."""
+    parse = _PARSERS[dialect]
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, text in zip(batch.column("file").to_pylist(), batch.column("text").to_pylist()):
-                held: list[dict] = []
-                before, number, size = 0, 0, 0
-                for s in parse(iter((text or "").split("\n")), like_reference, prefix):
-                    held.append({"file": file, "statement": number, "kind": s.kind, "table": s.table, "columns": list(s.columns), "rows": [list(r) for r in s.rows], "sql": s.sql, "changes_before": before})
-                    number, before, size = number + 1, before + (len(s.rows) if s.kind == "dml" else 1), size + len(s.rows) + 1
-                    if size >= 10 * CHUNK:
-                        yield pa.RecordBatch.from_pylist(held, schema=_ARROW)
-                        held, size = [], 0
-                yield pa.RecordBatch.from_pylist(held, schema=_ARROW)
+                yield from _numbered(file, parse(iter((text or "").split("\n")), like_reference, prefix))
 
     return texts.select("file", "text").mapInArrow(split, _SCHEMA)
 
 
-def read_dump_files(spark: SparkSession, path: str) -> DataFrame:
-    """The files at a path as columns ``file`` and ``text``."""
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+def read_dump_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of the files at a path: file, block (where the split begins), line (their order within it) and value.
+
+    Files are read in splits like any other, so their size has no bound.
+    """
+    return spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value")
+
+
+def dump_line_statements(lines: DataFrame, dialect: str, like_reference: bool = False, prefix: str = INTERNAL_PREFIX) -> DataFrame:
+    """The same as ``dump_statements``, of lines: each file's lines come in order to one task, which holds one statement at a time."""
+    parse = _PARSERS[dialect]
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = ((f, v) for b in batches for f, v in zip(b.column("file").to_pylist(), b.column("value").to_pylist()))
+        for file, group in groupby(pairs, key=lambda p: p[0]):
+            yield from _numbered(file, parse((v for _, v in group), like_reference, prefix))
+
+    order = ["file", "block", "line"]
+    return lines.repartition("file").sortWithinPartitions(*order).select("file", "value").mapInArrow(split, _SCHEMA)
 
 
 def statement_changes(statements: DataFrame, skip_tables: list[str] | None = None, only_tables: list[str] | None = None, max_rows_per_table: int = 0, empty_is_null: bool = True) -> DataFrame:
@@ -384,4 +475,47 @@ def statement_changes(statements: DataFrame, skip_tables: list[str] | None = Non
 
 def load_dump(spark: SparkSession, path: str, dialect: str, max_rows_per_table: int = 0, skip_tables: list[str] | None = None, only_tables: list[str] | None = None, like_reference: bool = False) -> DataFrame:
     """The changes of the dump files at a path."""
-    return statement_changes(dump_statements(read_dump_files(spark, path), dialect, like_reference), skip_tables, only_tables, max_rows_per_table, empty_is_null=like_reference)
+    return statement_changes(dump_line_statements(read_dump_lines(spark, path), dialect, like_reference), skip_tables, only_tables, max_rows_per_table, empty_is_null=like_reference)
+
+
+@dataclass(frozen=True)
+class LoadReport:
+    """What a load read: changes by type, those that were stored, those that could not be, and seconds."""
+
+    rows: int
+    statements: int
+    stored: int
+    failed: int
+    seconds: float
+
+
+def store_dump(changes: DataFrame, store: Callable[[DataFrame], None] | None, batch_size: int = 0, progress: Callable[[int, float], None] | None = None, continue_on_error: bool = False) -> LoadReport:
+    """Hand the changes of a dump to ``store``, in order of position.
+
+    With ``store`` None nothing is stored (a dry run): everything is read and
+    converted all the same.  ``batch_size`` cuts the load into ranges of that
+    many positions, each stored by itself; ``progress`` hears after each how
+    many changes are through, and the changes per second.  A batch that fails
+    ends the load, or with ``continue_on_error`` counts as failed.
+    """
+    began = time.monotonic()
+    by_type = {r["type"]: r["count"] for r in changes.groupBy("type").count().collect()}  # at most two rows
+    total = sum(by_type.values())
+    stored = failed = 0
+    if store is not None and total:
+        numbered = changes.withColumn("__number", bootstrap_sequence(F.col("position")))
+        last = numbered.agg(F.max("__number")).first()[0]
+        size = batch_size or last
+        for first in range(1, last + 1, size):
+            batch = numbered.where(F.col("__number").between(first, first + size - 1)).drop("__number")
+            here = batch.count()
+            try:
+                store(batch)
+                stored += here
+            except Exception:
+                if not continue_on_error:
+                    raise
+                failed += here
+            if progress:
+                progress(stored + failed, (stored + failed) / max(time.monotonic() - began, 1e-9))
+    return LoadReport(by_type.get("dml", 0), by_type.get("ddl", 0), stored, failed, time.monotonic() - began)

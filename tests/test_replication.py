@@ -174,6 +174,53 @@ def test_dump_parsers():
     assert like == "path\to\\file"
 
 
+TRICKY = '''INSERT INTO t VALUES (1, 'price $$ low');
+INSERT INTO t VALUES (2, 'line ends;
+and -- goes on /* here');
+INSERT INTO public."order items" ("a b", "say ""hi""") VALUES (3, E'it\\'s;'), (4, 'x') ON CONFLICT (id) DO NOTHING; -- done
+CREATE FUNCTION f() RETURNS int AS $body$ SELECT 'a;
+' $body$ LANGUAGE sql;
+COPY public."order items" ("a b", "c)", d) FROM stdin;
+5\t6\t7
+\\.
+'''
+
+
+def test_quotes_of_dumps():
+    made = list(dumps.pg_statements(iter(TRICKY.split("\n"))))
+    assert [(s.kind, s.table, s.columns) for s in made] == [("dml", "t", ()), ("dml", "t", ()), ("dml", "public.order items", ("a b", 'say "hi"')), ("ddl", "", ()), ("dml", "public.order items", ("a b", "c)", "d"))]
+    assert [s.rows for s in made if s.kind == "dml"] == [(("1", "price $$ low"),), (("2", "line ends;\nand -- goes on /* here"),), (("3", "it's;"), ("4", "x")), (("5", "6", "7"),)]
+    for open_end in ("INSERT INTO t VALUES (1", "INSERT INTO t VALUES ('a;", "CREATE FUNCTION f() AS $$ x;", "COPY t (a) FROM stdin;\n1"):
+        with pytest.raises(dumps.DumpError, match="ends inside"):
+            list(dumps.pg_statements(iter(open_end.split("\n"))))
+    with pytest.raises(dumps.DumpError, match="ends inside"):
+        list(dumps.mysql_statements(iter(["INSERT INTO t VALUES ('a;"])))
+    quoted = list(dumps.mysql_statements(iter(["CREATE TABLE `order items` (`a` int COMMENT 'x;", "y');", 'INSERT INTO `order items` (`a b`) VALUES ("it\\"s;");'])))
+    assert [(s.kind, s.table, s.columns, s.rows) for s in quoted] == [("ddl", "order items", (), ()), ("dml", "order items", ("a b",), (('it"s;',),))]
+
+
+def test_store_of_a_dump(spark, tmp_path):
+    (tmp_path / "b.sql").write_text(PG)
+    (tmp_path / "a.sql").write_text(TRICKY)
+    changes = dumps.load_dump(spark, str(tmp_path), "pg")
+    assert changes.where("dml.table = 'public.order items'").count() == 3
+    # Files follow each other by name.
+    assert changes.where("dml.table = 't'").agg({"position": "max"}).first()[0] < changes.where("dml.table = 'public.users'").agg({"position": "min"}).first()[0]
+    dry = dumps.store_dump(changes, None)
+    assert (dry.rows, dry.statements, dry.stored) == (10, 4, 0)
+    seen, heard = [], []
+    whole = dumps.store_dump(changes, lambda b: seen.append(b.count()), batch_size=5, progress=lambda n, rate: heard.append(n))
+    assert whole.stored == 14 and seen == [5, 5, 4] and heard == [5, 10, 14]
+
+    def broken(batch):
+        if batch.where("type = 'ddl'").count():
+            raise OSError("full")
+
+    assert dumps.store_dump(changes, broken, batch_size=1, continue_on_error=True).failed == 4
+    with pytest.raises(OSError):
+        dumps.store_dump(changes, broken)
+
+
 def test_dump_to_changes(spark, tmp_path):
     (tmp_path / "a.sql").write_text(PG)
     out = dumps.load_dump(spark, str(tmp_path), "pg")
