@@ -21,3 +21,11 @@ def latest_rows(changes: DataFrame, key: list[str], columns: list[str], order: l
     since = live.join(births, key).where((seq == F.col("__born")) | ((F.col(kind) == "update") & (seq > F.col("__born"))))
     values = [F.max(F.when(F.array_contains("present", c), F.struct(seq.alias("at"), F.col(c).alias("value")))).alias(c) for c in columns]
     return since.groupBy(*key).agg(*values).select(*key, *[F.col(f"`{c}`.value").alias(c) for c in columns])
+
+
+def rows_after(rows: DataFrame, changes: DataFrame, key: list[str], columns: list[str], order: list[str], kind: str = "kind") -> DataFrame:
+    """State of a table that had ``rows`` (one per key) before all ``changes``."""
+    types = {f.name: f.dataType for f in changes.schema.fields}
+    before = rows.select(*key, *[F.col(f"`{c}`") for c in columns], *[F.lit(None).cast(types[o]).alias(o) for o in order], F.lit("insert").alias(kind), F.array(*[F.lit(c) for c in columns]).alias("present"))
+    # NULL sorts before everything, so the rows are older than every change.
+    return latest_rows(before.unionByName(changes.select(*before.columns)), key, columns, order, kind)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.dialect import literal
+from ..model import cell
 
 
 def _size(c: Column) -> Column:
@@ -51,3 +52,19 @@ def render_changes(changes: DataFrame, dialect: str = "postgresql") -> DataFrame
     sql = F.when(row, made["sql"]).when(ddl, F.col("ddl.ddl"))
     error = F.when(row, made["error"]).when(ddl, F.when(F.col("ddl.ddl").isNull(), "no data")).otherwise("unknown type of change")
     return changes.withColumn("sql", sql).withColumn("error", error)
+
+
+def patch_change(table: str, keys: dict[str, Column], values: dict[str, Column], given: Column | None = None, now: Column | None = None, touched: str = "updated_at") -> Column:
+    """The change that patches a row: an update of the given columns, and of ``touched`` to ``now``.
+
+    ``keys`` and ``values`` are cells.  ``given`` is a list of the names that
+    are to be set, row by row (NULL or absent: all of ``values``); names that
+    ``values`` does not have are ignored.  A patch that sets nothing is NULL.
+    """
+    listed = F.array(*[F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in values.items()])
+    chosen = listed if given is None else F.filter(listed, lambda x: given.isNull() | F.array_contains(given, x["name"]))
+    also = F.array(F.struct(F.lit(touched).alias("name"), cell(timestamp_value=F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("value"))) if now is not None else None
+    every = chosen if also is None else F.concat(chosen, also)
+    old = F.struct(F.array(*[F.lit(n) for n in keys]).alias("key_names"), F.array(*keys.values()).alias("key_values"))
+    made = F.struct(F.lit(table).alias("table"), F.transform(every, lambda x: x["name"]).alias("column_names"), F.transform(every, lambda x: x["value"]).alias("column_values"), F.lit("update").alias("kind"), old.alias("old_keys"))
+    return F.when(F.size(chosen) > 0, made)

@@ -9,13 +9,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import dialect, position, scalar
 from ..functions.fakes import FAKES, fake_sql
-from ..model import CELL, cell, tag
+from ..functions.template import compile_template
+from ..model import CELL, cell, plain_text, tag
 from ..operators import catalogue_queries, change_log, copydiff, latest_state, render, transforms
-from ..sources import binlog, codec, dumps, infer, synthetic, wal
+from ..sources import binlog, codec, dumps, infer, synthetic, tables, wal, wire
 from ..sources.config import ColumnTransform, TransformConfig
 from ..storage import shared_root, table
 from ..streaming import streams
@@ -87,14 +88,25 @@ def fn_before(spark, folder):
     return table(spark, folder, "part").select("p_partkey", scalar.before(F.col("p_type"), " ").alias("head"))
 
 
-@query("SELECT p_partkey, CASE WHEN strpos(p_type, ' ') > 0 THEN substr(p_type, strpos(p_type, ' ') + 1) ELSE '' END AS rest FROM part WHERE p_type IS NOT NULL")
+@query("SELECT p_partkey, CASE WHEN p_type IS NULL THEN NULL WHEN strpos(p_type, ' ') > 0 THEN substr(p_type, strpos(p_type, ' ') + 1) ELSE '' END AS rest FROM part")
 def fn_after(spark, folder):
-    return table(spark, folder, "part").where("p_type is not null").select("p_partkey", scalar.after(F.col("p_type"), " ").alias("rest"))
+    return table(spark, folder, "part").select("p_partkey", scalar.after(F.col("p_type"), " ").alias("rest"))
 
 
-@query("SELECT p_partkey, lower(p_name) AS lower_name, upper(p_name) AS upper_name FROM part")
+@query("SELECT p_partkey, coalesce(lower(p_name), '<no value>') AS lower_name, coalesce(upper(p_name), '<NO VALUE>') AS upper_name FROM part")
 def fn_lower_upper(spark, folder):
-    return table(spark, folder, "part").select("p_partkey", F.lower("p_name").alias("lower_name"), F.upper("p_name").alias("upper_name"))
+    fields = {"p_name": (F.col("p_name"), T.StringType())}
+    return table(spark, folder, "part").select("p_partkey", compile_template("{{.p_name | lower}}", fields).alias("lower_name"), compile_template("{{upper .p_name}}", fields).alias("upper_name"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' OR o_orderstatus = 'P' THEN 'done' WHEN o_orderstatus IS NOT NULL AND o_totalprice > 1000.5 THEN 'large' ELSE 'open' END AS state,
+    lpad(CAST(o_orderkey AS VARCHAR), 8, '0') || '/' || length(coalesce(o_orderpriority, '<no value>')) AS label, coalesce('[' || nullif(o_orderpriority, '') || ']', 'none') AS priority FROM orders""")
+def tmpl_functions(spark, folder):
+    rows = table(spark, folder, "orders")
+    fields = {f.name: (F.col(f.name), f.dataType) for f in rows.schema.fields}
+    state = '{{if eq .o_orderstatus "F" "P"}}done{{else if and (not (eq .o_orderstatus "F")) .o_orderstatus (gt .o_totalprice 1000.5)}}large{{else}}open{{end}}'
+    templates = {"state": state, "label": '{{$key := printf "%08d" .o_orderkey}}{{$key}}/{{len .o_orderpriority}}', "priority": "{{with .o_orderpriority}}[{{.}}]{{else}}none{{end}}"}
+    return rows.select("o_orderkey", *[compile_template(t, fields).alias(n) for n, t in templates.items()])
 
 
 @query(r"""WITH one AS (SELECT c_custkey, regexp_replace(c_name, '\d+', 'N', 'g') AS c_name, c_mktsegment FROM customer WHERE c_name IS NOT NULL)
@@ -131,10 +143,10 @@ _FNV = "CAST(list_reduce(list_prepend(14695981039346656037::HUGEINT, [ascii_byte
 
 
 @query(
-    "SELECT n_nationkey, " + _FNV.format(bytes="[ord(substr(n_name, CAST(i AS INTEGER), 1)) FOR i IN range(1, length(n_name) + 1)]") + " AS seed FROM nation WHERE n_name IS NOT NULL"
+    "SELECT n_nationkey, " + _FNV.format(bytes="[ord(substr(n_name, CAST(i AS INTEGER), 1)) FOR i IN range(1, length(n_name) + 1)]") + " AS seed FROM nation WHERE n_name IS NOT NULL UNION ALL SELECT n_nationkey, NULL FROM nation WHERE n_name IS NULL"
 )
 def seed_hash_fnv1a(spark, folder):
-    return table(spark, folder, "nation").where("n_name is not null").select("n_nationkey", scalar.seed_hash(F.col("n_name")).cast("string").alias("seed"))
+    return table(spark, folder, "nation").select("n_nationkey", scalar.seed_hash(F.col("n_name")).cast("string").alias("seed"))
 
 
 @query("SELECT o_orderkey, o_orderstatus = 'F' AS filled FROM orders WHERE o_orderstatus IS NOT NULL")
@@ -311,28 +323,32 @@ def render_delete(spark, folder):
     return table(spark, folder, "orders").select("o_orderkey", render.render_dml(_dml("delete", "orders", {}, {"o_orderkey": _int("o_orderkey")}))["sql"].alias("sql"))
 
 
-@query("SELECT l_orderkey, l_linenumber, 'UPDATE lineitem SET l_quantity = ' || printf('%f', l_quantity) || ' WHERE l_orderkey = ' || l_orderkey || ' AND l_linenumber = ' || l_linenumber || ';' AS sql FROM lineitem WHERE l_quantity IS NOT NULL")
+@query("SELECT l_orderkey, l_linenumber, 'UPDATE lineitem SET l_quantity = ' || coalesce(printf('%f', l_quantity), 'NULL') || ' WHERE l_orderkey = ' || l_orderkey || ' AND l_linenumber = ' || l_linenumber || ';' AS sql FROM lineitem")
 def render_composite_key(spark, folder):
     keys = {"l_orderkey": _int("l_orderkey"), "l_linenumber": _int("l_linenumber")}
-    return table(spark, folder, "lineitem").where("l_quantity is not null").select("l_orderkey", "l_linenumber", render.render_dml(_dml("update", "lineitem", {"l_quantity": _float("l_quantity")}, keys))["sql"].alias("sql"))
+    return table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", render.render_dml(_dml("update", "lineitem", {"l_quantity": _float("l_quantity")}, keys))["sql"].alias("sql"))
 
 
-@query("""SELECT p_partkey, 'INSERT INTO part (p_name, large) VALUES (''' || replace(replace(p_name, '\\', '\\\\'), '''', '''''') || ''', ' || CASE WHEN p_size > 25 THEN '1' ELSE '0' END || ');' AS sql FROM part WHERE p_name IS NOT NULL AND p_size IS NOT NULL""")
+@query("""SELECT p_partkey, 'INSERT INTO part (p_name, large) VALUES (' || coalesce('''' || replace(replace(p_name, '\\', '\\\\'), '''', '''''') || '''', 'NULL') || ', ' || CASE WHEN p_size > 25 THEN '1' WHEN p_size <= 25 THEN '0' ELSE 'NULL' END || ');' AS sql FROM part""")
 def render_mysql_bool(spark, folder):
     columns = {"p_name": _string("p_name"), "large": _bool(F.col("p_size") > 25)}
-    return table(spark, folder, "part").where("p_name is not null and p_size is not null").select("p_partkey", render.render_dml(_dml("insert", "part", columns, None), "mysql")["sql"].alias("sql"))
+    return table(spark, folder, "part").select("p_partkey", render.render_dml(_dml("insert", "part", columns, None), "mysql")["sql"].alias("sql"))
 
 
-@query("""SELECT delivery_id, CASE
+@query(r"""WITH checked AS (SELECT *,
+    len(list_filter(list_concat(CASE WHEN dml_kind <> 'delete' THEN coalesce(column_values, []) ELSE [] END, CASE WHEN dml_kind <> 'insert' THEN coalesce(old_key_values, []) ELSE [] END), lambda v: v.timestamp_value IS NOT NULL AND NOT coalesce(
+        regexp_matches(v.timestamp_value, '^\d{4}-\d{2}-\d{2}$') AND TRY_CAST(v.timestamp_value AS DATE) IS NOT NULL
+        OR regexp_matches(v.timestamp_value, '^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$') AND TRY_CAST(replace(substr(v.timestamp_value, 1, 19), 'T', ' ') AS TIMESTAMP) IS NOT NULL, FALSE))) AS bad_times FROM change_log)
+SELECT * FROM (SELECT delivery_id, CASE
     WHEN dml_kind NOT IN ('insert', 'update', 'delete') THEN 'unsupported kind: ' || dml_kind
     WHEN dml_kind <> 'delete' AND len(column_names) <> len(column_values) THEN 'numbers of names and values differ'
-    WHEN dml_kind <> 'insert' AND coalesce(len(old_key_names), 0) = 0 THEN dml_kind || ' without keys' END AS error
-FROM change_log WHERE dml_kind NOT IN ('insert', 'update', 'delete') OR dml_kind <> 'delete' AND len(column_names) <> len(column_values) OR dml_kind <> 'insert' AND coalesce(len(old_key_names), 0) = 0""")
+    WHEN dml_kind <> 'insert' AND coalesce(len(old_key_names), 0) = 0 THEN dml_kind || ' without keys'
+    WHEN bad_times > 0 THEN 'invalid timestamp' END AS error FROM checked) WHERE error IS NOT NULL""")
 def render_errors(spark, folder):
     log = table(spark, folder, "change_log")
     keys = F.when(F.col("old_key_names").isNotNull(), F.struct(F.col("old_key_names").alias("key_names"), F.col("old_key_values").alias("key_values")))
     dml = F.struct(F.col("dml_table").alias("table"), "column_names", "column_values", F.col("dml_kind").alias("kind"), keys.alias("old_keys"))
-    return log.select("delivery_id", render.render_dml(dml)["error"].alias("error")).where("error is not null and error <> 'invalid timestamp'")
+    return log.select("delivery_id", render.render_dml(dml)["error"].alias("error")).where("error is not null")
 
 
 @query("""SELECT n_nationkey, '"' || replace(n_name, '"', '""') || '"' AS pg_name, '`' || replace(n_name, '`', '``') || '`' AS mysql_name, '''' || replace('public.' || n_name, '''', '''''') || '''' AS class_name FROM nation""")
@@ -398,23 +414,46 @@ def _frames(spark: SparkSession, folder: str) -> DataFrame:
     return relation.unionByName(frame(1, "insert", row, none)).unionByName(frame(2, "update", changed, row).where("seq % 30 = 2")).unionByName(frame(3, "delete", none, changed).where("seq % 70 = 3")).unionByName(frame(4, "begin", none, none)).unionByName(frame(5, "insert", row, none, "keepalive"))
 
 
-@query("""SELECT '0/' || printf('%X', o_orderkey * 10 + 1) AS position, 'public.orders' AS table_name, 'insert' AS kind, ['o_orderkey', 'o_orderstatus', 'o_totalprice'] AS names, CAST(NULL AS VARCHAR) AS key_value FROM orders
-UNION ALL SELECT '0/' || printf('%X', o_orderkey * 10 + 2), 'public.orders', 'update', ['o_orderstatus'], CAST(o_orderkey AS VARCHAR) FROM orders WHERE (o_orderkey * 10 + 2) % 30 = 2 AND o_orderstatus IS NOT NULL
-UNION ALL SELECT '0/' || printf('%X', o_orderkey * 10 + 3), 'public.orders', 'delete', [], CAST(o_orderkey AS VARCHAR) FROM orders WHERE (o_orderkey * 10 + 3) % 70 = 3""")
+@query("""SELECT '0/' || printf('%X', o_orderkey * 10 + 1) AS position, 'public.orders' AS table_name, 'insert' AS kind, ['o_orderkey', 'o_orderstatus', 'o_totalprice'] AS names, [CAST(o_orderkey AS VARCHAR), o_orderstatus] AS first_values, trunc(o_totalprice) AS price, CAST(NULL AS VARCHAR[]) AS key_names, CAST(NULL AS VARCHAR[]) AS key_values FROM orders
+UNION ALL SELECT '0/' || printf('%X', o_orderkey * 10 + 2), 'public.orders', 'update', ['o_orderstatus'], ['X'], NULL, ['o_orderkey'], [CAST(o_orderkey AS VARCHAR)] FROM orders WHERE (o_orderkey * 10 + 2) % 30 = 2 AND o_orderstatus IS NOT NULL
+UNION ALL SELECT '0/' || printf('%X', o_orderkey * 10 + 3), 'public.orders', 'delete', [], [], NULL, ['o_orderkey'], [CAST(o_orderkey AS VARCHAR)] FROM orders WHERE (o_orderkey * 10 + 3) % 70 = 3""")
 def wal_changes(spark, folder):
     made = wal.wal_changes(_frames(spark, folder))
-    return made.select("position", F.col("dml.table").alias("table_name"), "dml.kind", F.col("dml.column_names").alias("names"), F.get("dml.old_keys.key_values", F.lit(0))["int_value"].cast("string").alias("key_value"))
+    values = F.col("dml.column_values")
+    return made.select(
+        "position", F.col("dml.table").alias("table_name"), "dml.kind", F.col("dml.column_names").alias("names"), F.transform(F.slice(values, 1, 2), plain_text).alias("first_values"), F.get(values, F.lit(2))["float_value"].alias("price"),
+        F.col("dml.old_keys.key_names").alias("key_names"), F.transform("dml.old_keys.key_values", plain_text).alias("key_values"),
+    )
 
 
 @query("""SELECT 'bin.000001:' || o_orderkey AS position, CAST(r AS INTEGER) AS row_no, CASE o_orderkey % 3 WHEN 0 THEN 'insert' WHEN 1 THEN 'update' ELSE 'delete' END AS kind,
-    CASE o_orderkey % 3 WHEN 0 THEN ['o_orderkey', 'o_orderstatus'] WHEN 1 THEN ['o_orderstatus'] ELSE [] END AS names FROM orders, range(2) t(r) WHERE o_orderkey % 3 <> 1 OR r = 0""")
+    CASE o_orderkey % 3 WHEN 0 THEN ['o_orderkey', 'o_orderstatus'] WHEN 1 THEN ['o_orderstatus'] ELSE [] END AS names, CASE o_orderkey % 3 WHEN 0 THEN [CAST(o_orderkey AS VARCHAR), o_orderstatus] WHEN 1 THEN ['X'] ELSE [] END AS new_values,
+    CASE WHEN o_orderkey % 3 <> 0 THEN ['o_orderkey'] END AS key_names, CASE WHEN o_orderkey % 3 <> 0 THEN [CAST(o_orderkey AS VARCHAR)] END AS key_values FROM orders, range(2) t(r) WHERE o_orderkey % 3 <> 1 OR r = 0""")
 def binlog_changes(spark, folder):
-    key, status = cell(int_value=F.col("o_orderkey")), cell(string_value=F.col("o_orderstatus"))
-    row = F.array(key, status)
+    """Row events with values as the server sends them."""
+    key = F.col("o_orderkey").cast("string")
+    row = F.array(key, F.col("o_orderstatus"))
     action = F.when(F.col("o_orderkey") % 3 == 0, "insert").when(F.col("o_orderkey") % 3 == 1, "update").otherwise("delete")
-    rows = F.when(F.col("o_orderkey") % 3 == 1, F.array(row, F.array(key, cell(string_value=F.lit("X"))), row)).otherwise(F.array(row, row))
-    events = table(spark, folder, "orders").select(F.lit("bin.000001").alias("file"), F.col("o_orderkey").alias("offset"), action.alias("action"), F.lit("orders").alias("table"), F.array(F.lit("o_orderkey"), F.lit("o_orderstatus")).alias("columns"), F.array(F.lit("o_orderkey")).alias("key_columns"), rows.alias("rows"))
-    return binlog.binlog_changes(events).select("position", "row_no", "dml.kind", F.col("dml.column_names").alias("names"))
+    rows = F.when(F.col("o_orderkey") % 3 == 1, F.array(row, F.array(key, F.lit("X")), row)).otherwise(F.array(row, row))
+    events = table(spark, folder, "orders").select(F.lit("bin.000001").alias("file"), F.col("o_orderkey").alias("offset"), action.alias("action"), F.lit("orders").alias("table"), F.array(F.lit("o_orderkey"), F.lit("o_orderstatus")).alias("columns"), F.array(F.lit("bigint"), F.lit("varchar(1)")).alias("column_types"), F.array(F.lit("o_orderkey")).alias("key_columns"), rows.alias("rows"))
+    made = binlog.binlog_changes(binlog.typed_rows(events))
+    return made.select("position", "row_no", "dml.kind", F.col("dml.column_names").alias("names"), F.transform("dml.column_values", plain_text).alias("new_values"), F.col("dml.old_keys.key_names").alias("key_names"), F.transform("dml.old_keys.key_values", plain_text).alias("key_values"))
+
+
+@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'int' WHEN 1 THEN 'float' WHEN 2 THEN 'timestamp' WHEN 3 THEN 'string' WHEN 4 THEN 'int' ELSE CASE WHEN event_type IS NOT NULL THEN 'string' END END AS tag,
+    CASE event_id % 6 WHEN 0 THEN CAST(-event_id AS VARCHAR) WHEN 1 THEN CAST(event_id AS VARCHAR) || '.5' WHEN 2 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z' WHEN 3 THEN CAST(event_id AS VARCHAR) || '.50' WHEN 4 THEN CAST(event_id - 1000 AS VARCHAR) ELSE event_type END AS value FROM events""")
+def mysql_decode_types(spark, folder):
+    """Values of six column types; unsigned numbers beyond 63 bits wrap."""
+    kind = F.col("event_id") % 6
+    number = F.col("event_id").cast("string")
+    unsigned = F.col("event_id").cast("decimal(20,0)") - F.lit(1000)
+    text = (
+        F.when(kind == 0, F.concat(F.lit("-"), number)).when(kind == 1, F.concat(number, F.lit(".5"))).when(kind == 2, F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")).when(kind == 3, F.concat(number, F.lit(".50")))
+        .when(kind == 4, F.when(unsigned < 0, unsigned + F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(unsigned).cast("decimal(20,0)").cast("string")).otherwise(F.col("event_type"))
+    )
+    types = F.when(kind == 0, "int(11)").when(kind == 1, "double").when(kind == 2, "datetime(6)").when(kind == 3, "decimal(10,2)").when(kind == 4, "bigint(20) unsigned").otherwise("enum_text")
+    made = binlog.decode_cell(text, types)
+    return table(spark, folder, "events").select("event_id", tag(made).alias("tag"), plain_text(made).alias("value"))
 
 
 @query("SELECT log_id, ddl_text FROM ddl_log WHERE regexp_matches(trim(ddl_text), '(?i)^(CREATE|ALTER|DROP|RENAME|TRUNCATE)')")
@@ -461,10 +500,29 @@ def copy_unescape(spark, folder):
     return table(spark, folder, "nation").select("n_nationkey", infer.unescape_copy(F.concat("n_name", F.lit("\\t"), "n_name", F.lit("\\nend"))).alias("value"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS place FROM lineitem) WHERE place <= 3")
+def _row_statements(spark: SparkSession, folder: str) -> DataFrame:
+    """Every line item as a statement of a dump, into a table of its supplier."""
+    text = lambda c: F.col(c).cast("string")
+    none = F.lit(None).cast("string")
+    return table(spark, folder, "lineitem").select(
+        F.lit("lines.sql").alias("file"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("statement"), F.lit("dml").alias("kind"), F.concat(F.lit("s"), text("l_suppkey")).alias("table"), F.array(F.lit("l_orderkey"), F.lit("l_linenumber")).alias("columns"),
+        F.array(F.array(text("l_orderkey"), text("l_linenumber"))).alias("rows"), none.alias("sql"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("changes_before"),
+    )
+
+
+def _statement_rows(changes: DataFrame) -> DataFrame:
+    value = lambda i: F.get("dml.column_values", F.lit(i))["int_value"]
+    return changes.select(value(0).alias("l_orderkey"), value(1).alias("l_linenumber"), F.col("dml.table").alias("table_name"))
+
+
+@query("SELECT l_orderkey, l_linenumber, 's' || l_suppkey AS table_name FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS place FROM lineitem) WHERE place <= 3")
 def limit_per_table(spark, folder):
-    order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey")
-    return table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", F.row_number().over(order).alias("place")).where("place <= 3").drop("place")
+    return _statement_rows(dumps.statement_changes(_row_statements(spark, folder), max_rows_per_table=3))
+
+
+@query("SELECT l_orderkey, l_linenumber, 's' || l_suppkey AS table_name FROM lineitem WHERE l_suppkey IN (2, 3)")
+def only_and_skipped_tables(spark, folder):
+    return _statement_rows(dumps.statement_changes(_row_statements(spark, folder), skip_tables=["s1"], only_tables=["s1", "s2", "s3"]))
 
 
 def _dump(spark: SparkSession, folder: str, kind: str) -> DataFrame:
@@ -556,31 +614,41 @@ def cell_diff(spark, folder):
     return copydiff.row_differences(rows, _masked(rows, {"c_name": ColumnTransform("Regex", {"pattern": r"\d", "replacement": "#"})}), "c_custkey", ["c_name", "c_mktsegment"])
 
 
-@query("""SELECT l_orderkey, l_linenumber, list_filter([CASE WHEN l_quantity > 25 THEN 'l_quantity' END, CASE WHEN l_returnflag IS DISTINCT FROM 'N' THEN 'l_returnflag' END], lambda x: x IS NOT NULL) AS changed FROM lineitem""")
+@query("""SELECT l_orderkey, l_linenumber, list_filter([CASE WHEN l_quantity > 25 THEN 'l_quantity' END, CASE WHEN l_returnflag <> 'N' THEN 'l_returnflag' END], lambda x: x IS NOT NULL) AS changed FROM lineitem""")
 def changed_columns(spark, folder):
-    rows = table(spark, folder, "lineitem")
-    old = {"l_quantity": F.col("l_quantity").cast("string"), "l_returnflag": F.col("l_returnflag")}
-    new = {"l_quantity": F.when(F.col("l_quantity") > 25, F.lit("25")).otherwise(old["l_quantity"]), "l_returnflag": F.lit("N")}
-    changed = F.filter(F.array(*[F.when(~old[c].eqNullSafe(new[c]), c) for c in old]), lambda x: x.isNotNull())
-    return rows.select("l_orderkey", "l_linenumber", changed.alias("changed"))
-
-
-@query("""SELECT o_custkey, CAST(m AS DATE) AS month, n AS orders_so_far FROM (
-    SELECT o_custkey, unnest(generate_series(date_trunc('month', min(o_orderdate)), date_trunc('month', max(o_orderdate)), INTERVAL 1 MONTH)) AS m, count(*) AS n FROM orders WHERE o_orderdate IS NOT NULL GROUP BY o_custkey)""")
+    """Updates of every line item, as replication sends them with their old rows: only what changed is listed."""
+    column = lambda name, oid, flags: F.struct(F.lit(name).alias("name"), F.lit(oid).alias("oid"), F.lit(flags).alias("flags"))
+    columns = F.array(column("l_orderkey", wal.INT8, 1), column("l_linenumber", wal.INT4, 1), column("l_quantity", wal.FLOAT8, 0), column("l_returnflag", 25, 0))
+    text = lambda c: F.col(c).cast("string")
+    none = F.lit(None)
+    base = [F.lit("XLogData").alias("frame"), F.lit("0/1").alias("lsn")]
+    relation = spark.range(1).select(F.lit(-1).cast("bigint").alias("seq"), *base, F.lit("relation").alias("message"), F.lit(1).alias("relation_id"), F.lit("public").alias("namespace"), F.lit("lineitem").alias("name"), columns.alias("columns"), none.cast("array<string>").alias("new_tuple"), none.cast("array<string>").alias("old_tuple"))
+    old = F.array(text("l_orderkey"), text("l_linenumber"), text("l_quantity"), "l_returnflag")
+    new = F.array(text("l_orderkey"), text("l_linenumber"), F.when(F.col("l_quantity") > 25, "25").otherwise(text("l_quantity")), F.lit("N"))
+    updates = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("seq"), *base, F.lit("update").alias("message"), F.lit(1).alias("relation_id"), none.cast("string").alias("namespace"), none.cast("string").alias("name"), none.cast(relation.schema["columns"].dataType).alias("columns"), new.alias("new_tuple"), old.alias("old_tuple"))
+    made = wal.wal_changes(relation.unionByName(updates))
+    key = lambda i: F.get("dml.old_keys.key_values", F.lit(i))["int_value"]
+    return made.select(key(0).alias("l_orderkey"), key(1).alias("l_linenumber"), F.col("dml.column_names").alias("changed"))
+
+
+@query("""SELECT o_custkey AS organization_id, CAST(m AS DATE) AS date, CAST(10.00 * n AS DECIMAL(10, 2)) AS cost FROM (
+    SELECT o_custkey, unnest(generate_series(date_trunc('month', min(o_orderdate)) + INTERVAL 1 MONTH, TIMESTAMP '1998-12-01', INTERVAL 1 MONTH)) AS m, count(*) AS n FROM orders WHERE o_orderdate IS NOT NULL GROUP BY o_custkey)""")
 def invoice_generation(spark, folder):
-    orders = table(spark, folder, "orders").where("o_orderdate is not null").groupBy("o_custkey").agg(F.min("o_orderdate").alias("first"), F.max("o_orderdate").alias("last"), F.count("*").alias("orders_so_far"))
-    months = F.explode(F.sequence(F.trunc(F.col("first").cast("date"), "month"), F.trunc(F.col("last").cast("date"), "month"), F.expr("INTERVAL 1 MONTH"))).alias("month")
-    return orders.select("o_custkey", months, "orders_so_far")
+    """Invoices of customers, as organizations whose users and subscriptions are their orders."""
+    orders = table(spark, folder, "orders").where("o_orderdate is not null").withColumnRenamed("o_custkey", "organization_id")
+    users = orders.select("organization_id", F.col("o_orderkey").alias("id"))
+    subscriptions = orders.select("organization_id", F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"), F.lit(10).cast("decimal(10,2)").alias("monthly_per_user_price"))
+    return synthetic.invoices(users, subscriptions, F.lit("1998-12-01").cast("date")).select("organization_id", "date", "cost")
 
 
 @query("SELECT o_custkey, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS first_order FROM orders WHERE o_orderdate IS NOT NULL GROUP BY o_custkey")
 def owner_min_by(spark, folder):
-    return table(spark, folder, "orders").where("o_orderdate is not null").groupBy("o_custkey").agg(F.min(F.struct("o_orderdate", "o_orderkey"))["o_orderkey"].alias("first_order"))
+    return synthetic.first_of(table(spark, folder, "orders").where("o_orderdate is not null"), "o_custkey", "o_orderdate", "o_orderkey").select("o_custkey", F.col("o_orderkey").alias("first_order"))
 
 
-@query("SELECT o_custkey, count(*) AS orders FROM orders GROUP BY o_custkey")
+@query("SELECT o_custkey, count(*) AS users FROM orders GROUP BY o_custkey")
 def users_per_org(spark, folder):
-    return table(spark, folder, "orders").groupBy("o_custkey").agg(F.count("*").alias("orders"))
+    return synthetic.members(table(spark, folder, "orders"), "o_custkey")
 
 
 @query()
@@ -597,16 +665,24 @@ def synthetic_tasks(spark, folder):
 
 
 def _order_changes(spark: SparkSession, folder: str) -> DataFrame:
-    """Per order an insert, an update of the status for every third key, a delete for every seventh."""
+    """Per order an insert, an update of the status for every third key, a delete for every seventh, and another insert for every 35th.
+
+    Every fourth key has its changes twice, and nothing is in order.
+    """
     orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
     none = F.lit(None).cast("string")
-    insert = orders.select("o_orderkey", "o_orderstatus", "o_orderpriority", F.lit("insert").alias("kind"), F.array(F.lit("o_orderstatus"), F.lit("o_orderpriority")).alias("present"), (F.col("o_orderkey") * 3).alias("score"))
-    update = orders.where("o_orderkey % 3 = 0").select("o_orderkey", F.lit("U").alias("o_orderstatus"), none.alias("o_orderpriority"), F.lit("update").alias("kind"), F.array(F.lit("o_orderstatus")).alias("present"), (F.col("o_orderkey") * 3 + 1).alias("score"))
-    delete = orders.where("o_orderkey % 7 = 0").select("o_orderkey", none.alias("o_orderstatus"), none.alias("o_orderpriority"), F.lit("delete").alias("kind"), F.array().cast("array<string>").alias("present"), (F.col("o_orderkey") * 3 + 2).alias("score"))
-    return insert.unionByName(update).unionByName(delete)
+    both, status, nothing = F.array(F.lit("o_orderstatus"), F.lit("o_orderpriority")), F.array(F.lit("o_orderstatus")), F.array().cast("array<string>")
+
+    def change(kind: str, at: int, every: int, new_status: Column, new_priority: Column, present: Column) -> DataFrame:
+        return orders.where(F.col("o_orderkey") % every == 0).select("o_orderkey", new_status.alias("o_orderstatus"), new_priority.alias("o_orderpriority"), F.lit(kind).alias("kind"), present.alias("present"), (F.col("o_orderkey") * 10 + at).alias("score"))
 
+    insert = change("insert", 0, 1, F.col("o_orderstatus"), F.col("o_orderpriority"), both)
+    log = insert.unionByName(change("update", 1, 3, F.lit("U"), none, status)).unionByName(change("delete", 2, 7, none, none, nothing)).unionByName(change("insert", 3, 35, F.lit("R"), none, status))
+    return log.unionByName(log.where("o_orderkey % 4 = 0")).orderBy(F.xxhash64("score"))
 
-_STATE = "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'U' ELSE o_orderstatus END AS o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 7 <> 0"
+
+_STATE = """SELECT o_orderkey, CASE WHEN o_orderkey % 35 = 0 THEN 'R' WHEN o_orderkey % 3 = 0 THEN 'U' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 35 <> 0 THEN o_orderpriority END AS o_orderpriority
+FROM orders WHERE o_orderkey % 7 <> 0 OR o_orderkey % 35 = 0"""
 _ARGS = (["o_orderkey"], ["o_orderstatus", "o_orderpriority"], ["score"])
 
 
@@ -615,14 +691,14 @@ def apply_latest_state(spark, folder):
     return latest_state.latest_rows(_order_changes(spark, folder), *_ARGS)
 
 
-@query("SELECT o_orderkey, 'U' AS o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 7 <> 0")
+@query(f"SELECT * FROM ({_STATE}) WHERE o_orderkey % 3 = 0")
 def apply_partial_update(spark, folder):
     return latest_state.latest_rows(_order_changes(spark, folder).where("o_orderkey % 3 = 0"), *_ARGS)
 
 
-@query("SELECT count(*) AS live_rows FROM orders WHERE o_orderkey % 7 <> 0")
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 7 <> 0 OR o_orderkey % 35 = 0")
 def apply_delete(spark, folder):
-    return latest_state.latest_rows(_order_changes(spark, folder), *_ARGS).agg(F.count("*").alias("live_rows"))
+    return latest_state.latest_rows(_order_changes(spark, folder), *_ARGS).select("o_orderkey")
 
 
 @query(f"""SELECT position, score FROM (SELECT '0/BOOTSTRAP' || lpad(CAST(n_nationkey + 1 AS VARCHAR), 16, '0') AS position, n_nationkey + 1 - 1000000 AS score FROM nation UNION ALL SELECT position, score FROM ({_LOG}))""")
@@ -650,21 +726,38 @@ def stream_replay(spark, folder):
 
 @query(_STATE)
 def stream_apply(spark, folder):
-    """Changes applied to a stored state by a stream."""
+    """Changes applied to a stored state by a stream, in batches out of order and with repeats; half way the state is compacted."""
     place = _place(spark, "apply")
-    _order_changes(spark, folder).write.parquet(f"{place}/log")
-    source = streams.stream_table(spark, f"{place}/log", spark.read.parquet(f"{place}/log").schema, 2)
-    streams.apply_to_state(source, f"{place}/rows", f"{place}/checkpoint", *_ARGS).awaitTermination()
-    return streams.read_state(spark, f"{place}/rows", *_ARGS)
+    log = _order_changes(spark, folder)
+    half = (table(spark, folder, "orders").agg(F.max("o_orderkey")).first()[0] or 0) * 5
+    run = lambda: streams.apply_to_state(streams.stream_table(spark, f"{place}/log", log.schema, 2), f"{place}/state", f"{place}/checkpoint").awaitTermination()
+    log.where(F.col("score") <= half).write.parquet(f"{place}/log")
+    run()
+    streams.compact_state(spark, f"{place}/state", *_ARGS, (half,))
+    log.where(F.col("score") > half).write.mode("append").parquet(f"{place}/log")
+    run()
+    return streams.read_state(spark, f"{place}/state", *_ARGS)
 
 
 @query("SELECT event_id FROM events")
 def stream_dedup(spark, folder):
+    """Events of which some come again in later batches, each stored once, however late."""
+    place = _place(spark, "dedup")
+    events = table(spark, folder, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    run = lambda: streams.store_once(streams.stream_table(spark, f"{place}/log", events.schema), f"{place}/store", f"{place}/checkpoint", ["event_id"], ["ts"]).awaitTermination()
+    for part in (events.where("event_id % 3 <> 0"), events.where("event_id % 4 = 0"), events.where("event_id % 3 = 0 or event_id % 5 = 0")):
+        part.write.mode("append").parquet(f"{place}/log")
+        run()
+    return streams.read_once(spark, f"{place}/store", ["event_id"], ["ts"]).select("event_id")
+
+
+@query("SELECT event_id FROM events")
+def stream_dedup_within(spark, folder):
     """Events that arrive twice, kept once within a day of state."""
     place = _place(spark, "dedup")
     events = table(spark, folder, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
     events.unionByName(events.where("event_id % 4 = 0")).write.parquet(f"{place}/log")
-    source = streams.stream_table(spark, f"{place}/log", spark.read.parquet(f"{place}/log").schema)
+    source = streams.stream_table(spark, f"{place}/log", events.schema)
     running = streams.once_within(source, ["event_id"], "ts").select("event_id").writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
     running.awaitTermination()
     return spark.read.schema("event_id bigint").parquet(f"{place}/out")
@@ -673,16 +766,16 @@ def stream_dedup(spark, folder):
 # More of the survey --------------------------------------------------------------------------------------------------
 
 
-@query("SELECT n_nationkey, 'public.' || n_name AS table_name, ['id', 'name'] AS columns FROM nation WHERE NOT contains(n_name, ' ')")
+@query("""SELECT n_nationkey, 'public.' || n_name || ' (old)' AS table_name, ['id', 'full name', 'a"b'] AS columns FROM nation""")
 def copy_header_parse(spark, folder):
-    line = F.concat(F.lit("COPY public."), "n_name", F.lit(' (id, "name") FROM stdin;'))
+    line = F.concat(F.lit("COPY public."), dialect.identifier(F.concat("n_name", F.lit(" (old)")), "postgresql"), F.lit(' (id, "full name", "a""b") FROM stdin;'))
     made = dumps.copy_header(line)
-    return table(spark, folder, "nation").where("n_name not like '% %'").select("n_nationkey", made["table"].alias("table_name"), made["columns"].alias("columns"))
+    return table(spark, folder, "nation").select("n_nationkey", made["table"].alias("table_name"), made["columns"].alias("columns"))
 
 
-@query("SELECT n_nationkey, 'CREATE TABLE t' || n_nationkey || ' (x int); INSERT INTO t VALUES (1);' AS sql FROM nation")
+@query("SELECT n_nationkey, 'CREATE TABLE t' || n_nationkey || ' (x int); INSERT into t values (1);' AS sql FROM nation")
 def normalise_sql(spark, folder):
-    text = F.concat(F.lit("create Table t"), F.col("n_nationkey").cast("string"), F.lit(" (x int); insert into t values (1);"))
+    text = F.concat(F.lit("  create Table t"), F.col("n_nationkey").cast("string"), F.lit(" (x int); insert into t values (1);\n"))
     return table(spark, folder, "nation").select("n_nationkey", dumps.normalise_keywords(text).alias("sql"))
 
 
@@ -694,7 +787,7 @@ def mysql_ddl_table(spark, folder):
     return spread.select((F.col("n_nationkey") * 4 + F.col("i")).alias("statement_id"), dumps.mysql_table(F.col("sql")).alias("table_name"))
 
 
-@query("SELECT log_id, ddl_id AS id, ddl_username AS username, ddl_text AS ddl FROM ddl_log WHERE ddl_text <> ''")
+@query("SELECT log_id, ddl_id AS id, ddl_username AS username, ddl_text AS ddl FROM ddl_log")
 def wal_ddl_log(spark, folder):
     """Inserts into the DDL log, as they come through replication, become schema changes."""
     names = (("id", wal.INT4), ("time", 25), ("username", 25), ("database", 25), ("ddl", 25))
@@ -703,7 +796,7 @@ def wal_ddl_log(spark, folder):
     base = {"frame": F.lit("XLogData"), "relation_id": F.lit(1), "old_tuple": none.cast("array<string>")}
     relation = spark.range(1).select(F.lit(-1).cast("bigint").alias("seq"), base["frame"].alias("frame"), F.lit("0/0").alias("lsn"), F.lit("relation").alias("message"), base["relation_id"].alias("relation_id"), F.lit("public").alias("namespace"), F.lit(wal.DDL_LOG_TABLE).alias("name"), columns.alias("columns"), none.cast("array<string>").alias("new_tuple"), base["old_tuple"].alias("old_tuple"))
     row = F.array(F.col("ddl_id").cast("string"), "ddl_time", "ddl_username", "ddl_database", "ddl_text")
-    inserts = table(spark, folder, "ddl_log").where("ddl_text <> ''").select(F.col("log_id").alias("seq"), base["frame"].alias("frame"), F.col("change_position").alias("lsn"), F.lit("insert").alias("message"), base["relation_id"].alias("relation_id"), none.cast("string").alias("namespace"), none.cast("string").alias("name"), none.cast(relation.schema["columns"].dataType).alias("columns"), row.alias("new_tuple"), base["old_tuple"].alias("old_tuple"))
+    inserts = table(spark, folder, "ddl_log").select(F.col("log_id").alias("seq"), base["frame"].alias("frame"), F.col("change_position").alias("lsn"), F.lit("insert").alias("message"), base["relation_id"].alias("relation_id"), none.cast("string").alias("namespace"), none.cast("string").alias("name"), none.cast(relation.schema["columns"].dataType).alias("columns"), row.alias("new_tuple"), base["old_tuple"].alias("old_tuple"))
     made = wal.wal_changes(relation.unionByName(inserts)).where("type = 'ddl'")
     return made.select(F.col("seq").alias("log_id"), "ddl.id", "ddl.username", "ddl.ddl")
 
@@ -714,16 +807,86 @@ def binlog_query_ddl(spark, folder):
     return binlog.query_changes(queries).select(binlog.parse_position(F.col("position"))["offset"].alias("log_id"), "ddl.time", "ddl.database")
 
 
-@query("""SELECT delivery_id, dml_kind AS kind, CASE WHEN place > 0 THEN CASE WHEN column_values[place].string_value IS NOT NULL THEN 'N. N.' END END AS name FROM (SELECT *, coalesce(list_position(column_names, 'name'), 0) AS place FROM change_log WHERE dml_table = 'public.users')
-WHERE place = 0 OR column_values[place].string_value IS NOT NULL""")
+@query("""SELECT delivery_id, dml_kind AS kind, CASE WHEN place > 0 THEN CASE WHEN column_values[place].string_value IS NOT NULL THEN 'N. N.' END END AS name, old_key_names AS key_names,
+    [coalesce(v.string_value, CAST(v.int_value AS VARCHAR), CAST(v.float_value AS VARCHAR), CAST(v.bool_value AS VARCHAR), v.timestamp_value) FOR v IN old_key_values] AS key_values, CAST(NULL AS VARCHAR) AS ddl, CAST(NULL AS VARCHAR) AS username
+FROM (SELECT *, coalesce(list_position(column_names, 'name'), 0) AS place FROM change_log WHERE dml_table = 'public.users') WHERE place = 0 OR column_values[place].string_value IS NOT NULL
+UNION ALL SELECT log_id, NULL, NULL, NULL, NULL, ddl_text, NULL FROM ddl_log""")
 def transform_envelope(spark, folder):
-    """The change log's rows of one table, their names replaced inside the envelope."""
+    """The change log's rows of one table, their names replaced inside the envelope and their old keys as they are, and all schema changes, of which only the text stays."""
     log = table(spark, folder, "change_log").where("dml_table = 'public.users'")
     keys = F.when(F.col("old_key_names").isNotNull(), F.struct(F.col("old_key_names").alias("key_names"), F.col("old_key_values").alias("key_values")))
-    changes = log.select("delivery_id", F.col("change_position").alias("position"), F.lit("dml").alias("type"), F.struct(F.col("dml_table").alias("table"), "column_names", "column_values", F.col("dml_kind").alias("kind"), keys.alias("old_keys")).alias("dml"), F.lit(None).cast("struct<id:int,time:string,username:string,database:string,ddl:string>").alias("ddl"))
+    rows = log.select("delivery_id", F.col("change_position").alias("position"), F.lit("dml").alias("type"), F.struct(F.col("dml_table").alias("table"), "column_names", "column_values", F.col("dml_kind").alias("kind"), keys.alias("old_keys")).alias("dml"), F.lit(None).cast("struct<id:int,time:string,username:string,database:string,ddl:string>").alias("ddl"))
+    ddl = F.struct(F.col("ddl_id").alias("id"), F.col("ddl_time").alias("time"), F.col("ddl_username").alias("username"), F.col("ddl_database").alias("database"), F.col("ddl_text").alias("ddl"))
+    statements = table(spark, folder, "ddl_log").select(F.col("log_id").alias("delivery_id"), F.col("change_position").alias("position"), F.lit("ddl").alias("type"), F.lit(None).cast(rows.schema["dml"].dataType).alias("dml"), ddl.alias("ddl"))
     config = TransformConfig(0, {"public.users": {"name": ColumnTransform("Regex", {"pattern": r"(?s)^.*$", "replacement": "N. N."})}})
-    made = transforms.transform_changes(changes, config)
-    return made.select("delivery_id", "dml.kind", F.get("dml.column_values", F.array_position("dml.column_names", "name").cast("int") - 1)["string_value"].alias("name"))
+    made = transforms.transform_changes(rows.unionByName(statements), config)
+    name = F.get("dml.column_values", F.array_position("dml.column_names", "name").cast("int") - 1)["string_value"]
+    return made.select("delivery_id", "dml.kind", name.alias("name"), F.col("dml.old_keys.key_names").alias("key_names"), F.transform("dml.old_keys.key_values", plain_text).alias("key_values"), "ddl.ddl", "ddl.username")
+
+
+_BYTES = lambda field, text: f"'{field << 3 | 2:02X}' || printf('%02X', strlen({text})) || hex({text})"
+_INNER = f"{_BYTES(1, chr(39) + 'nation' + chr(39))} || '12046E6B6579' || '12046E616D65' || '1A0210' || printf('%02X', n_nationkey) || '1A' || printf('%02X', strlen(n_name) + 2) || {_BYTES(1, 'n_name')} || {_BYTES(4, chr(39) + 'insert' + chr(39))}"
+
+
+@query(f"SELECT n_nationkey, {_BYTES(1, 'place')} || '1203646D6C' || '1A' || printf('%02X', length(body) // 2) || body AS message FROM (SELECT n_nationkey, '0/' || printf('%X', n_nationkey + 1) AS place, {_INNER} AS body FROM nation WHERE n_name IS NOT NULL)")
+def wire_encode(spark, folder):
+    """Inserts in the binary form in which they go over the wire."""
+    dml = _dml("insert", "nation", {"nkey": _int("n_nationkey"), "name": _string("n_name")}, None)
+    change = F.struct(F.concat(F.lit("0/"), F.hex(F.col("n_nationkey") + 1)).alias("position"), F.lit("dml").alias("type"), dml.alias("dml"), F.lit(None).cast("struct<id:int,time:string,username:string,database:string,ddl:string>").alias("ddl"))
+    return table(spark, folder, "nation").where("n_name is not null").select("n_nationkey", F.hex(wire.wire_change(change)).alias("message"))
+
+
+@query("SELECT '0/' || printf('%X', event_id) AS position, event_id AS score FROM events")
+def wire_round_trip(spark, folder):
+    """Changes written to the wire form and read again, by position."""
+    dml = _dml("update", "events", {"user_id": _int("user_id"), "event_type": _string("event_type")}, {"event_id": _int("event_id")})
+    change = F.struct(F.concat(F.lit("0/"), F.hex("event_id")).alias("position"), F.lit("dml").alias("type"), dml.alias("dml"), F.lit(None).cast("struct<id:int,time:string,username:string,database:string,ddl:string>").alias("ddl"))
+    read = wire.read_wire(table(spark, folder, "events").select(wire.wire_change(change).alias("value")))
+    return read.select("position", F.get("dml.old_keys.key_values", F.lit(0))["int_value"].alias("score"))
+
+
+@query("SELECT o_orderkey, 'SELECT * FROM orders WHERE o_orderkey = ? AND o_custkey = ?' AS mysql, 'SELECT * FROM orders WHERE o_orderkey = $1 AND o_custkey = $2' AS pg FROM orders")
+def param_rewrite(spark, folder):
+    sql = F.lit("SELECT * FROM orders WHERE o_orderkey = $1 AND o_custkey = $2")
+    return table(spark, folder, "orders").select("o_orderkey", tables.placeholders(sql, "mysql").alias("mysql"), tables.placeholders(sql, "postgresql").alias("pg"))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'UPDATE customer SET c_name = ' || coalesce('''' || replace(c_name, '''', '''''') || '''', 'NULL') || ', updated_at = ''2024-05-06 07:08:09'' WHERE c_custkey = ' || c_custkey || ';'
+    ELSE 'UPDATE customer SET c_name = ' || coalesce('''' || replace(c_name, '''', '''''') || '''', 'NULL') || ', c_mktsegment = ' || coalesce('''' || c_mktsegment || '''', 'NULL') || ', updated_at = ''2024-05-06 07:08:09'' WHERE c_custkey = ' || c_custkey || ';' END AS sql FROM customer""")
+def row_patch(spark, folder):
+    """Patches that set nothing, one column, or all."""
+    given = F.when(F.col("c_custkey") % 3 == 0, F.array(F.lit("unknown"))).when(F.col("c_custkey") % 3 == 1, F.array(F.lit("c_name"), F.lit("unknown")))
+    dml = render.patch_change("customer", {"c_custkey": _int("c_custkey")}, {"c_name": _string("c_name"), "c_mktsegment": _string("c_mktsegment")}, given, F.lit("2024-05-06 07:08:09").cast("timestamp"))
+    return table(spark, folder, "customer").select("c_custkey", render.render_dml(dml)["sql"].alias("sql"))
+
+
+def _insert_dump(spark: SparkSession, folder: str) -> str:
+    """All orders as a dump of single INSERT statements, in as many files as the engine makes, with texts that look like ends and quotes."""
+    place = _place(spark, "dump")
+    text = F.concat(F.coalesce("o_orderpriority", F.lit("")), F.lit(" costs $$;\n-- it's \\ "))
+    line = F.concat(F.lit('INSERT INTO public."order items" ("order key", note) VALUES ('), F.col("o_orderkey").cast("string"), F.lit(", '"), F.replace(text, F.lit("'"), F.lit("''")), F.lit("');"))
+    table(spark, folder, "orders").select(line.alias("value")).write.text(place)
+    return place
+
+
+@query(r"SELECT 'public.order items' AS table_name, o_orderkey, coalesce(o_orderpriority, '') || ' costs $$;' || chr(10) || '-- it''s \ ' AS note FROM orders")
+def dump_pg_inserts(spark, folder):
+    changes = dumps.load_dump(spark, _insert_dump(spark, folder), "pg")
+    value = lambda i: F.get("dml.column_values", F.lit(i))
+    return changes.select(F.col("dml.table").alias("table_name"), value(0)["int_value"].alias("o_orderkey"), value(1)["string_value"].alias("note"))
+
+
+@query("SELECT count(*) AS read_rows, 0 AS statements, 0 AS stored, 0 AS failed FROM orders")
+def dump_dry_run(spark, folder):
+    report = dumps.store_dump(dumps.load_dump(spark, _insert_dump(spark, folder), "pg"), None)
+    return spark.createDataFrame([(report.rows, report.statements, report.stored, report.failed)], "read_rows bigint, statements bigint, stored bigint, failed bigint")
+
+
+@query("SELECT max(o_orderkey) AS next_value FROM orders")
+def sync_after_inserts(spark, folder):
+    """What the periodic sync of sequences sets after a batch with inserts."""
+    batch = _order_changes(spark, folder).withColumn("dml_table", F.lit("orders"))
+    return streams.high_water_marks(batch, "orders", "o_orderkey")
 
 
 @query(r"""SELECT c_custkey FROM customer WHERE c_name IS DISTINCT FROM regexp_replace(c_name, '\d', '#', 'g')""")
@@ -733,12 +896,14 @@ def edited_rows(spark, folder):
     return copydiff.row_differences(rows, masked, "c_custkey", ["c_name"]).select("c_custkey").distinct()
 
 
-@query(f"""SELECT '{{"kind":"insert"}}' AS envelope, count(*) AS changes, sum(length({_PAYLOAD})) AS characters FROM events""")
+@query(f"SELECT event_id, payload, CAST(score AS BIGINT) AS score FROM ({_LOG})")
 def log_append(spark, folder):
-    """The log appended to a store and read again, with what it holds."""
+    """The log appended to a store in two parts and read again."""
     place = _place(spark, "log")
-    change_log.append(log_of_events(spark, folder).drop("score"), place)
-    return change_log.read_log(spark, place).agg(F.lit('{"kind":"insert"}').alias("envelope"), F.count("*").alias("changes"), F.sum(F.length("payload")).alias("characters")).select("envelope", "changes", "characters")
+    log = log_of_events(spark, folder).drop("score")
+    change_log.append(log.where("event_id % 2 = 0"), place)
+    change_log.append(log.where("event_id % 2 = 1"), place)
+    return change_log.read_log(spark, place).select("event_id", "payload", "score")
 
 
 @query("SELECT 'INSERT INTO orders (o_orderkey, o_orderstatus) VALUES (' || o_orderkey || ', ' || coalesce('''' || o_orderstatus || '''', 'NULL') || ');' AS sql FROM orders")
@@ -750,7 +915,7 @@ def stream_render(spark, folder):
     lines = table(spark, folder, "orders").select(codec.encode_dml(position.bootstrap_text(F.col("o_orderkey")), F.lit("orders"), names, values, F.lit("insert"), none.cast("array<string>"), none.cast(f"array<{CELL.simpleString()}>")).alias("value"))
     lines.write.text(f"{place}/in")
     sink = lambda batch, number: batch.select("sql").write.mode("overwrite").parquet(f"{place}/out/batch={number}")
-    streams.replicate(streams.stream_changes(spark, f"{place}/in"), TransformConfig(0, {}), "postgresql", sink, f"{place}/checkpoint").awaitTermination()
+    streams.replicate(streams.stream_changes(spark, f"{place}/in", "bootstrap"), TransformConfig(0, {}), "postgresql", sink, f"{place}/checkpoint").awaitTermination()
     return spark.read.schema("sql string").parquet(f"{place}/out").select("sql")
 
 

@@ -2,7 +2,9 @@
 
 Row events are rows: ``file``, ``offset``, ``action`` (insert, update,
 delete), ``table``, ``columns`` (names), ``key_columns`` (names) and ``rows``
-(arrays of cells; an update has old and new rows in turns).
+(arrays of cells; an update has old and new rows in turns).  ``typed_rows``
+makes them of rows whose values are texts, as the server sends them, by the
+types of the columns.
 """
 
 from __future__ import annotations
@@ -10,12 +12,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.position import binlog_position
-from ..model import CELL
+from ..model import CELL, cell
 from .dumps import is_ddl
 
 ROWS = f"file string, offset bigint, action string, table string, columns array<string>, key_columns array<string>, rows array<array<{CELL.simpleString()}>>"
 
 
+# Column types whose values are whole numbers (an enum or a set is its number), and floating ones.
+WHOLE_TYPES = ("tinyint", "smallint", "mediumint", "int", "integer", "bigint", "year", "bit", "enum", "set")
+FLOAT_TYPES = ("float", "double", "real")
+INSTANT_TYPES = ("datetime", "timestamp")
+BOOL_TYPES = ("bool", "boolean")
+
+
+def decode_cell(text: Column, column_type: Column, null_is_empty: bool = False) -> Column:
+    """The cell of a MySQL value by the type of its column, as ``int unsigned`` or ``varchar(20)``.
+
+    Whole numbers keep their 64 bits, so an unsigned one beyond 2^63 wraps.
+    Instants come out in RFC 3339 without their fraction; zero dates stay text.
+    Decimals, dates, times, JSON and everything else stay text, as does what
+    does not read as its type.  NULL is the NULL cell, or with
+    ``null_is_empty`` the empty text.
+    """
+    bare = F.lower(F.regexp_extract(column_type, r"^\s*([A-Za-z]+)", 1))
+    wide = text.try_cast("decimal(20,0)")
+    whole = F.when(wide > F.lit("9223372036854775807").cast("decimal(20,0)"), wide - F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(wide).try_cast("bigint")
+    stamp = F.regexp_extract(text, r"^(\d{4}-\d{2}-\d{2})[ T](\d{2}:\d{2}:\d{2})(\.\d+)?$", 0)
+    moment = F.when((stamp != "") & stamp.try_cast("timestamp").isNotNull(), F.concat(F.substr(stamp, F.lit(1), F.lit(10)), F.lit("T"), F.substr(stamp, F.lit(12), F.lit(8)), F.lit("Z")))
+    truth = F.when(F.lower(text).isin("1", "true"), True).when(F.lower(text).isin("0", "false"), False)
+    number = F.when(bare.isin(*FLOAT_TYPES), text.try_cast("double"))
+    return (
+        F.when(text.isNull(), cell(string_value=F.lit("")) if null_is_empty else cell())
+        .when(bare.isin(*WHOLE_TYPES) & whole.isNotNull(), cell(int_value=whole))
+        .when(number.isNotNull(), cell(float_value=number))
+        .when(bare.isin(*BOOL_TYPES) & truth.isNotNull(), cell(bool_value=truth))
+        .when(bare.isin(*INSTANT_TYPES) & moment.isNotNull(), cell(timestamp_value=moment))
+        .otherwise(cell(string_value=text))
+    )
+
+
+def typed_rows(events: DataFrame, null_is_empty: bool = False) -> DataFrame:
+    """Row events whose ``rows`` are arrays of texts, with ``column_types``, as ``binlog_changes`` takes them; values beyond the columns are left out."""
+    typed = F.transform("rows", lambda row: F.filter(F.zip_with(row, "column_types", lambda v, t: F.when(t.isNotNull(), decode_cell(v, t, null_is_empty))), lambda c: c.isNotNull()))
+    return events.withColumn("rows", typed).drop("column_types")
+
+
 def format_position(file: Column, offset: Column) -> Column:
     return binlog_position(file, offset)
 

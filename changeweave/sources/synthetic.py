@@ -6,7 +6,7 @@ shuffle to refer to each other and any size is made in one pass.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.fakes import fake
 from ..functions.scalar import luhn_number
@@ -76,14 +76,24 @@ def generate(spark: SparkSession, organizations: int = 10, months: int = 36) ->
     return tables
 
 
+def first_of(rows: DataFrame, group: str, *order: str) -> DataFrame:
+    """Of each group the first row by ``order``; rows without a group count as one."""
+    best = F.min_by(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), F.struct(*order))
+    return rows.groupBy(group).agg(best.alias("__first")).select("__first.*")
+
+
+def members(users: DataFrame, group: str = "organization_id") -> DataFrame:
+    """How many users each organization has."""
+    return users.groupBy(group).agg(F.count("*").alias("users"))
+
+
 def invoices(users: DataFrame, subscriptions: DataFrame, end: Column) -> DataFrame:
     """One invoice per organization and month, on the first: its users times its price.
 
     Months are counted from the first day of the month, so that no month end is clamped.
     """
-    count = users.groupBy("organization_id").agg(F.count("*").alias("users"))
-    first = F.row_number().over(Window.partitionBy("organization_id").orderBy("created_at", "id"))
-    one = subscriptions.withColumn("rank", first).where("rank = 1").drop("rank")
+    count = members(users)
+    one = first_of(subscriptions, "organization_id", "created_at", "id")
     series = F.explode(F.sequence(F.add_months(F.trunc(F.col("created_at").cast("date"), "month"), 1), end, F.expr("INTERVAL 1 MONTH"))).alias("date")
     due = one.where(F.add_months(F.trunc(F.col("created_at").cast("date"), "month"), 1) <= end).select("organization_id", "monthly_per_user_price", series)
     made = due.join(count, "organization_id").withColumn("id", _uuid("invoice", F.col("organization_id"), F.col("date")))

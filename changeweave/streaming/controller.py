@@ -8,6 +8,9 @@ import time
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, replace
 from enum import Enum
+from typing import TypeVar
+
+T = TypeVar("T")
 
 
 class State(str, Enum):
@@ -53,7 +56,7 @@ class BootstrapController:
 
     def __init__(self, store: FileStore, clock: Callable[[], float] = time.time, only_streaming: bool = False):
         """``only_streaming``: of saved states only STREAMING is restored."""
-        self.store, self.clock = store, clock
+        self.store, self.clock, self.position = store, clock, ""
         saved = store.load()
         self.info = saved if saved and (not only_streaming or saved.current == State.STREAMING) else StateInfo()
 
@@ -72,16 +75,45 @@ class BootstrapController:
         """ACCUMULATING to STREAMING."""
         return self._move(State.ACCUMULATING, replace(self.info, current=State.STREAMING, transition_time=self.clock()))
 
-    def accumulated(self, changes: int) -> None:
+    def accumulated(self, changes: int, position: str = "") -> None:
+        """So many more changes are kept, up to a position."""
+        self.position = position or self.position
         self.info = replace(self.info, accumulated_changes=self.info.accumulated_changes + changes)
 
     def status(self) -> dict:
-        return {"state": self.info.current.value, "start_position": self.info.start_position, "current_position": "", "accumulated_changes": self.info.accumulated_changes, "uptime_seconds": max(0.0, self.clock() - self.info.transition_time) if self.info.transition_time else 0.0}
+        return {"state": self.info.current.value, "start_position": self.info.start_position, "current_position": self.position or self.info.start_position, "accumulated_changes": self.info.accumulated_changes, "uptime_seconds": max(0.0, self.clock() - self.info.transition_time) if self.info.transition_time else 0.0}
 
     def may_stream(self) -> bool:
         return self.info.current == State.STREAMING
 
 
+def wait_to_stream(controller: BootstrapController, poll: float = 0.1, most: float | None = None, sleep: Callable[[float], None] = time.sleep) -> None:
+    """Return once the replication is STREAMING; StateError if it is not after ``most`` seconds."""
+    waited = 0.0
+    while not controller.may_stream():
+        if most is not None and waited >= most:
+            raise StateError(f"state is {controller.info.current.value}, not STREAMING")
+        sleep(poll)
+        waited += poll
+
+
+def with_retry(attempt: Callable[[], T], errors: tuple[type[Exception], ...] = (OSError,), first: float = 1.0, most: float = 30.0, tries: int | None = None, sleep: Callable[[float], None] = time.sleep) -> T:
+    """The result of ``attempt``, tried again after ``errors``; waits double from ``first`` to ``most`` seconds.
+
+    After ``tries`` attempts the last error is raised; None tries for ever.
+    """
+    wait, made = first, 0
+    while True:
+        try:
+            return attempt()
+        except errors:
+            made += 1
+            if made == tries:
+                raise
+            sleep(wait)
+            wait = min(wait * 2, most)
+
+
 def resume_position(replica_tables: int) -> str:
     """Where a client begins: at ``bootstrap`` if its replica is empty, else at the live end."""
     return "bootstrap" if replica_tables == 0 else ""

@@ -75,6 +75,9 @@ ROW = {"first_name": ("John", "string"), "last_name": ("Doe", "string"), "title"
         ('{{.first_name | after "@"}}', ""), ('{{before "@" .email | upper}}', "USER"), ("{{if .active}}ACTIVE{{else}}INACTIVE{{end}}: {{.first_name}} {{.last_name}}", "ACTIVE: John Doe"), ("Score: {{.score}}", "Score: 95.5"),
         ("{{.missing_field}}|{{.none}}", "<no value>|<no value>"), ("{{.n}} {{.active}} {{.big}} {{.small}} {{.whole}}", "123 true 1e+21 1e-05 5"), ("{{if .zero}}a{{else if .none}}b{{else}}c{{end}}", "c"), ("a {{- .n -}} b", "a123b"), ("", ""), ("plain", "plain"),
         ("{{/* note */}}x", "x"),
+        ('{{if eq .n 1 123}}y{{else}}n{{end}}', "y"), ('{{if and .active (not .zero) (gt .score 95.0)}}y{{end}}', "y"), ('{{or .none .first_name "z"}}|{{and .zero .n}}', "John|0"), ("{{len .first_name}}{{len \"é\"}}", "42"),
+        ('{{printf "%s-%05d|%.2f|%q|%v|%d%%" .first_name .n .score .last_name .active .n}}', 'John-00123|95.50|"Doe"|true|123%'), ('{{printf "%s" (lower .first_name) | upper}}', "JOHN"), ("{{$x := .n}}{{if .active}}{{$x}}{{end}}", "123"),
+        ("{{with .first_name}}{{.}}{{else}}none{{end}}{{with .none}}x{{else}}none{{end}}", "Johnnone"), ("{{with $y := .last_name}}{{$y}}{{end}}", "Doe"), ('{{print .n .zero "a" .n}}', "123 0a123"), ("{{if lt .n 5}}a{{else if ne .first_name .last_name}}b{{end}}", "b"),
     ],
 )
 def test_templates(spark, template, wanted):
@@ -84,7 +87,7 @@ def test_templates(spark, template, wanted):
     assert df.select(compile_template(template, fields).alias("t")).first().t == wanted
 
 
-@pytest.mark.parametrize("template", ["{{.name", "{{if .a}}x", "{{end}}", "{{.a | nope}}", "{{}}", "{{else}}", "{{year .a}}"])
+@pytest.mark.parametrize("template", ["{{.name", "{{if .a}}x", "{{end}}", "{{.a | nope}}", "{{}}", "{{else}}", "{{year .a}}", "{{range .a}}{{end}}", "{{$x}}", "{{(.a}}", "{{.a)}}", "{{eq .a 1}}", '{{printf "%d" .a}}', '{{printf "%s"}}', "{{with .a}}{{.b}}{{end}}", "{{not .a .a}}", "{{len 3}}"])
 def test_templates_that_are_refused(spark, template):
     with pytest.raises(TemplateError):
         compile_template(template, {"a": (F.lit("x"), T.StringType())})
