@@ -11,8 +11,8 @@ from ..functions.keys import joined_key, plain_table, with_key_parts
 from ..storage import written
 from .instants import instant_micros
 
-#: Rows per hash bucket that the bucket count aims at.
-BUCKET_ROWS = 200_000
+#: Bytes of cells per hash bucket that the number of buckets aims at.
+BUCKET_BYTES = 64 << 20
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d{1,3})?$"
 _DATELIKE = r"^\s*\d{4}-\d{2}-\d{2}([Tt ]\d{2}:\d{2}.*)?$"
 
@@ -115,11 +115,11 @@ def _compare(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table({"dml_table": pc.take(tables, pa.array(row // n_keys)), "row_key": pc.take(keys, pa.array(row % n_keys)), "column_name": named, "difference": pc.take(pa.array(["missing_in_replica", "missing_in_primary", "value"]), pa.array(kind))})
 
 
-def copy_differences(copies: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def copy_differences(copies: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """dml_table, row_key, column_name, difference between primary and replica.
 
     Canonical cells go by a hash of table and key into as many buckets as keep
-    each near ``bucket_rows`` rows; the two sides of a bucket meet as Arrow
+    each near ``bucket_bytes``, whatever the width of the rows; the two sides of a bucket meet as Arrow
     tables, keys are aligned by sorted search and cells compared through masks.
     As each side has one row per key by then, no key makes a bucket large.
 
@@ -130,7 +130,9 @@ def copy_differences(copies: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataF
     read last; an empty side makes every row of the other missing.
     """
     cells = written(cells_by_row(copies), "cells", by="primary")
-    buckets = max(8, -(-copies.count() // bucket_rows))
+    # A cell is held with its table, key and name, and some bytes of overhead.
+    size = cells.agg(F.sum(sum((F.octet_length(c) for c in ("dml_table", "row_key", "column_name", "text")), F.lit(32)))).first()[0] or 0
+    buckets = max(8, -(-size // bucket_bytes))
     cells = cells.withColumn("bucket", F.pmod(F.xxhash64("dml_table", "row_key"), F.lit(buckets)))
     left = cells.where("primary").drop("primary")
     # Columns of its own: a cogroup of two branches of one table else loses the values of the second.
@@ -139,7 +141,15 @@ def copy_differences(copies: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataF
 
 
 def row_differences(left: DataFrame, right: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Changed cells among ``columns`` of rows with the same key in both typed tables: key, column_name, old_value, new_value."""
-    both = left.select(key, *[F.col(c).cast("string").alias(f"l_{i}") for i, c in enumerate(columns)]).join(right.select(key, *[F.col(c).cast("string").alias(f"r_{i}") for i, c in enumerate(columns)]), key)
+    """Changed cells among ``columns`` of two typed tables: key, column_name, old_value, new_value.
+
+    A row that only one side has comes out with all its columns, the other
+    side's values NULL.  Rows with the same key on both sides are compared
+    each with each, so keys should be unique; rows whose key is NULL have no
+    partner.
+    """
+    side = lambda rows, mark: rows.select(F.col(key).alias("__key"), F.lit(True).alias(f"{mark}_there"), *[F.col(c).cast("string").alias(f"{mark}_{i}") for i, c in enumerate(columns)])
+    both = side(left, "l").join(side(right, "r"), "__key", "full")
+    one_sided = F.col("l_there").isNull() | F.col("r_there").isNull()
     cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"l_{i}").alias("old_value"), F.col(f"r_{i}").alias("new_value")) for i, c in enumerate(columns)])
-    return both.select(key, F.explode(F.filter(cells, lambda x: ~x["old_value"].eqNullSafe(x["new_value"]))).alias("cell")).select(key, "cell.*")
+    return both.select(F.col("__key").alias(key), F.explode(F.filter(cells, lambda x: one_sided | ~x["old_value"].eqNullSafe(x["new_value"]))).alias("cell")).select(key, "cell.*")

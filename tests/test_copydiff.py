@@ -39,10 +39,12 @@ def test_empty(spark):
 
 def test_one_row_repeated_often(spark):
     rows = [("primary", "users", {"id": 1, "name": "x"})] * 500 + [("replica", "users", {"id": 1, "name": "y"})]
-    assert found(copy_differences(copies(spark, rows), bucket_rows=10)) == [("users", "1", "name", "value")]
+    assert found(copy_differences(copies(spark, rows), bucket_bytes=10)) == [("users", "1", "name", "value")]
 
 
 def test_row_differences(spark):
-    a = spark.createDataFrame([(1, "x", None), (2, "y", 1)], "id int, name string, n int")
-    b = spark.createDataFrame([(1, "x", 5), (2, "z", 1)], "id int, name string, n int")
-    assert found(row_differences(a, b, "id", ["name", "n"])) == [(1, "n", None, "5"), (2, "name", "y", "z")]
+    a = spark.createDataFrame([(1, "x", None), (2, "y", 1), (3, "w", None)], "id int, name string, n int")
+    b = spark.createDataFrame([(1, "x", 5), (2, "z", 1), (4, None, 7)], "id int, name string, n int")
+    got = sorted(map(tuple, row_differences(a, b, "id", ["name", "n"]).collect()), key=str)
+    assert got == [(1, "n", None, "5"), (2, "name", "y", "z"), (3, "n", None, None), (3, "name", "w", None), (4, "n", None, "7"), (4, "name", None, None)]
+    assert row_differences(a.limit(0), b.limit(0), "id", ["n"]).count() == 0
