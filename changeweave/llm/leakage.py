@@ -87,9 +87,32 @@ class Items:
     ids: list[list[int]]
     words: list[list[str]]
     vocabulary: pa.Array
+    #: in order, so that phrases with the same first two words stand together
     phrases: np.ndarray
-    #: of each phrase the items and places where it stands
-    places: list[np.ndarray]
+    #: the first two words of phrases, each pair once and as one number, and where its phrases begin
+    pairs: np.ndarray
+    pair_first: np.ndarray
+    #: items and places of all phrases, one phrase after the other, where each begins and how many it has
+    places: np.ndarray
+    place_first: np.ndarray
+    place_count: np.ndarray
+
+    def present(self, symbols: np.ndarray) -> np.ndarray:
+        """Numbers of the phrases that may stand in the text: those whose first two words do.
+
+        The text's pairs of words are looked up among the phrases', so what is
+        spent depends on the text and on what it has of the items, not on the
+        number of items.
+        """
+        here = np.unique(symbols[:-1] * self.wide + symbols[1:]) if len(symbols) > 1 else np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.pairs, here), max(len(self.pairs) - 1, 0))
+        found = at[self.pairs[at] == here] if len(self.pairs) else at[:0]
+        first, size = self.pair_first[found], self.pair_first[found + 1] - self.pair_first[found]
+        return np.repeat(first, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+
+    @property
+    def wide(self) -> int:
+        return len(self.vocabulary) + 2
 
 
 def prepare_items(rows: list[tuple[int, str | None]]) -> Items:
@@ -103,12 +126,15 @@ def prepare_items(rows: list[tuple[int, str | None]]) -> Items:
     ids, words = list(numbers.values()), [list(w) for w in numbers]
     vocabulary = sorted({w for ws in words for w in ws})
     number = {w: i + 2 for i, w in enumerate(vocabulary)}  # 0 ends the text, 1 is any other word
-    places = defaultdict(list)
-    for i, ws in enumerate(words):
-        codes = [number[w] for w in ws]
-        for k in range(len(codes) - PHRASE + 1):
-            places[tuple(codes[k : k + PHRASE])].append((i, k))
-    return Items(ids, words, pa.array(vocabulary, pa.string()), np.array(list(places), np.int64).reshape(-1, PHRASE), [np.array(v, np.int64) for v in places.values()])
+    item = np.repeat(np.arange(len(words)), [len(ws) - PHRASE + 1 for ws in words])
+    place = np.concatenate([np.arange(len(ws) - PHRASE + 1) for ws in words]) if words else np.zeros(0, np.int64)
+    flat = np.array([number[w] for ws in words for w in ws], np.int64)
+    begin = np.cumsum([0, *[len(ws) for ws in words]])[:-1]
+    every = flat[(begin[item] + place)[:, None] + np.arange(PHRASE)] if len(item) else np.zeros((0, PHRASE), np.int64)
+    order = np.lexsort(every.T[::-1])
+    phrases, first, count = np.unique(every[order], axis=0, return_index=True, return_counts=True)
+    pairs, pair_first = np.unique(phrases[:, 0] * (len(vocabulary) + 2) + phrases[:, 1], return_index=True)
+    return Items(ids, words, pa.array(vocabulary, pa.string()), phrases, pairs, np.append(pair_first, len(phrases)), np.stack([item, place], axis=1)[order], first, count)
 
 
 def _near(a: str, b: str) -> bool:
@@ -182,21 +208,17 @@ def _shard(doc_ids: pa.Array, texts: pa.Array, boxes: pa.Array, items: Items) ->
         ends = np.flatnonzero(of[1:] != of[:-1]) + 1
         symbols, place, of = np.insert(symbols, ends, 1), np.insert(place, ends, -1), np.insert(of, ends, -1)
         index = FMIndex(symbols, len(items.vocabulary) + 1)
-        low, high = index.search(items.phrases)
-        found = np.flatnonzero(high > low)
-        number = (high - low)[found]
-        rows = np.repeat(low[found], number) + np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
+        asked = items.present(symbols)
+        low, high = index.search(items.phrases[asked])
+        some = high > low
+        found, low, number = asked[some], low[some], (high - low)[some]
+        rows = np.repeat(low, number) + np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
         at = index.locate(rows)
-        phrase = np.repeat(found, number)
         # Every item and place at which the phrase stands.
-        many = np.array([len(items.places[f]) for f in found], np.int64)
-        per_hit = np.repeat(many, number)
+        per_hit = np.repeat(items.place_count[found], number)
         hit = np.repeat(np.arange(len(at)), per_hit)
         inner = np.arange(len(hit)) - np.repeat(np.cumsum(per_hit) - per_hit, per_hit)
-        sizes = np.array([len(x) for x in items.places], np.int64)
-        first = np.cumsum(sizes) - sizes
-        flat = np.concatenate(items.places)
-        item, k = flat[first[phrase[hit]] + inner].T
+        item, k = items.places[np.repeat(np.repeat(items.place_first[found], number), per_hit) + inner].T
         word = place[at[hit]]
         line = word - k
         order = np.lexsort((word, line, item, run[word]))

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from changeweave.llm.fm_index import FMIndex, WaveletMatrix, suffix_array
-from changeweave.llm.leakage import leaked_items, leaked_spans, removal_spans
+from changeweave.llm.leakage import leaked_items, leaked_spans, prepare_items, removal_spans
 
 ITEM = "The harbour at Nolford kept eleven lanterns and the baker of Wenby counted each of them twice before the morning bell was rung by Tamsin Orlo"
 DOCS = "doc_id bigint, text string, line_boxes array<struct<x0:int,y0:int,x1:int,y1:int,conf:int>>"
@@ -122,3 +122,36 @@ def test_against_direct_search(spark):
         for k in range(len(ws) - 11):
             direct |= {(d.doc_id, i) for i in runs.get(tuple(ws[k : k + 12]), ())}
     assert direct <= found
+
+
+def test_recall_by_damage(spark):
+    """Passages of 12 to 24 words with so many of their words misread by one letter: share that is found."""
+    rng = np.random.default_rng(4)
+    syllables = [a + b for a in "bdfgklmnprst" for b in "aeiou"]
+    word = lambda: "".join(rng.choice(syllables, rng.integers(2, 5)))
+    filler = [word() for _ in range(300)]
+    items = [" ".join(word() for _ in range(40)) for _ in range(150)]
+    table = spark.createDataFrame([(i, "a", "en", t) for i, t in enumerate(items)], ITEMS)
+    for rate, least in ((0.0, 1.0), (0.1, 0.95), (0.2, 0.85), (0.3, 0.6)):
+        pages = []
+        for text in items:
+            n = int(rng.integers(12, 25))
+            words = text.split()[5 : 5 + n]
+            for k in range(n):
+                if rng.random() < rate:
+                    at = int(rng.integers(len(words[k])))
+                    words[k] = words[k][:at] + str(rng.choice(list("aeiournm"))) + words[k][at + 1 :]
+            around = list(rng.choice(filler, 30))
+            pages.append(column(" ".join(around[:15] + words + around[15:])))
+        found = {tuple(r) for r in leaked_items(page(spark, pages), table).collect()}
+        assert {(i + 1, i) for i in range(150)} >= found
+        assert len(found) >= least * 150, (rate, len(found))
+
+
+def test_phrases_that_are_asked():
+    items = prepare_items([(i, " ".join(f"w{i}x{k}" for k in range(14))) for i in range(50)])
+    vocabulary = items.vocabulary.to_pylist()
+    code = lambda w: vocabulary.index(w) + 2
+    text = np.array([1, code("w3x4"), code("w3x5"), code("w3x6"), 1, code("w7x1"), code("w7x2")])
+    assert sorted(tuple(p) for p in items.phrases[items.present(text)]) == sorted(tuple(code(f"w{i}x{k + j}") for j in range(3)) for i, k in ((3, 4), (3, 5), (7, 1)))
+    assert not len(items.present(text[:1])) and not len(prepare_items([]).present(text))
