@@ -132,7 +132,7 @@ def test_recall_by_damage(spark):
     filler = [word() for _ in range(300)]
     items = [" ".join(word() for _ in range(40)) for _ in range(150)]
     table = spark.createDataFrame([(i, "a", "en", t) for i, t in enumerate(items)], ITEMS)
-    for rate, least in ((0.0, 1.0), (0.1, 0.95), (0.2, 0.85), (0.3, 0.6)):
+    for rate, least in ((0.0, 1.0), (0.1, 0.97), (0.2, 0.95), (0.3, 0.8)):
         pages = []
         for text in items:
             n = int(rng.integers(12, 25))
