@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.position import score
 from ..operators import apply_log, copydiff, dedup, instants, references, schema_drift
-from ..storage import table, written
+from ..storage import shared_root, table, written
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -24,11 +26,12 @@ BATCHES = 5
 def p1_incremental(spark: SparkSession, folder: str) -> DataFrame:
     """The whole log in batches that have nothing to do with its order, each against what is stored by then."""
     log = table(spark, folder, "change_log").withColumn("score", score(F.col("change_position"))).select("delivery_id", *dedup.DELIVERY, "received_at")
+    place = f"{shared_root(spark)}/delivered-{uuid.uuid4().hex[:8]}"
     stored = None
     for n in range(BATCHES):
         batch = log.where(F.pmod(F.xxhash64("delivery_id"), F.lit(BATCHES)) == n)
-        won = written(dedup.newly_delivered(batch, stored, dedup.DELIVERY, dedup.EARLIEST), "delivered")
-        stored = won if stored is None else stored.unionByName(won)
+        dedup.newly_delivered(batch, stored, dedup.DELIVERY, dedup.EARLIEST).write.parquet(f"{place}/batch={n}")
+        stored = spark.read.schema(log.schema).option("basePath", f"{place}/").parquet(place)
     return dedup.stored_once(stored, dedup.DELIVERY, dedup.EARLIEST).select("delivery_id", *dedup.DELIVERY)
 
 
