@@ -18,6 +18,8 @@ import numpy as np
 
 #: No zone changes before; after 2100 the rules in force repeat with the calendar, of which the table holds one cycle.
 FIRST_YEAR, LAST_YEAR = 1800, 2500
+#: From this year on the database has rules and no single changes; rules change months apart.
+REGULAR_YEAR = 2100
 #: Seconds of the calendar's 400 years.
 _CYCLE = 146_097 * 86_400
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
@@ -54,7 +56,7 @@ def database_version() -> str:
 
 @lru_cache(maxsize=1024)
 def zone_table(name: str) -> ZoneTable:
-    """Probe the zone day by day and bisect each day in which the offset or abbreviation changes."""
+    """Probe the zone, day by day as long as changes are irregular, and bisect each step in which the offset or abbreviation changes."""
     zone = zoneinfo.ZoneInfo(name)
 
     def at(second: int) -> tuple[int, str]:
@@ -64,9 +66,11 @@ def zone_table(name: str) -> ZoneTable:
     start = int((datetime(FIRST_YEAR, 1, 1, tzinfo=timezone.utc) - _EPOCH).total_seconds())
     end = int((datetime(LAST_YEAR, 1, 1, tzinfo=timezone.utc) - _EPOCH).total_seconds())
     walls, offsets, names = [], [at(start)[0]], {}
-    step = 7 * 86400
+    day, regular = 86400, (datetime(REGULAR_YEAR, 1, 1, tzinfo=timezone.utc) - _EPOCH) // timedelta(seconds=1)
     before = at(start)
-    for second in range(start, end, step):
+    second = start
+    while second < end:
+        step = day if second < regular else 7 * day
         after = at(second + step)
         if second + step > 0:
             names[after[1]] = after[0]
@@ -79,4 +83,5 @@ def zone_table(name: str) -> ZoneTable:
                 walls.append(high + max(before[0], after[0]))
                 offsets.append(after[0])
             before = after
+        second += step
     return ZoneTable(name, database_version(), np.array(walls, dtype=np.int64), np.array(offsets, dtype=np.int64), {k.upper(): v for k, v in names.items() if k[:1].isalpha()})
