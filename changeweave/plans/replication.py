@@ -861,11 +861,11 @@ def row_patch(spark, folder):
 
 
 def _insert_dump(spark: SparkSession, folder: str) -> str:
-    """All orders as a dump of single INSERT statements, in as many files as the engine makes, with texts that look like ends and quotes."""
+    """All orders as dumps of single INSERT statements, one for each core, with texts that look like ends and quotes."""
     place = _place(spark, "dump")
     text = F.concat(F.coalesce("o_orderpriority", F.lit("")), F.lit(" costs $$;\n-- it's \\ "))
     line = F.concat(F.lit('INSERT INTO public."order items" ("order key", note) VALUES ('), F.col("o_orderkey").cast("string"), F.lit(", '"), F.replace(text, F.lit("'"), F.lit("''")), F.lit("');"))
-    table(spark, folder, "orders").select(line.alias("value")).write.text(place)
+    table(spark, folder, "orders").select(line.alias("value")).repartition(spark.sparkContext.defaultParallelism).write.text(place)
     return place
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.position import bootstrap_sequence, bootstrap_text
 from ..model import CELL
+from ..storage import written
 from .infer import infer_cell
 
 #: Names with this prefix belong to the replication's own tables and are left out.
@@ -269,8 +270,12 @@ def _copy_cell(value: str, like_reference: bool) -> str | None:
     return re.sub(r"\\(.)", lambda m: _ESCAPES.get(m[1], m[1]) if m[1] in "nrtb" else m[1], value)
 
 
+_KIND = re.compile(r"\s*(?:" + "|".join(f"(?P<{n}>{p})" for n, p in _PG_KINDS) + ")", re.I)
+
+
 def _kind(sql: str) -> str:
-    return next((n for n, p in _PG_KINDS if re.match(rf"\s*{p}", sql, re.I)), "UNKNOWN")
+    m = _KIND.match(sql)
+    return m.lastgroup if m else "UNKNOWN"
 
 
 def _named(sql: str) -> str:
@@ -329,11 +334,13 @@ def pg_statements(lines: Iterator[str], like_reference: bool = False, prefix: st
             continue
         sql = "\n".join(statement).strip()
         statement = []
-        kind, table = _kind(sql), _named(sql)
+        kind = _kind(sql)
         if kind == "INSERT":
-            if not table.rpartition(".")[2].startswith(prefix) and (made := _insert(sql, "pg", like_reference)):
+            if (made := _insert(sql, "pg", like_reference)) and not made.table.rpartition(".")[2].startswith(prefix):
                 yield made
-        elif kind in KEPT_DDL:
+            continue
+        table = _named(sql)
+        if kind in KEPT_DDL:
             if not _internal(sql, table, prefix):
                 yield Statement("ddl", table, sql=sql)
         elif kind == "SELECT" and "PG_CATALOG.SETVAL" in sql.upper():
@@ -390,16 +397,28 @@ _ARROW = pa.schema([("file", pa.string()), ("statement", pa.int64()), ("kind", p
 
 
 def _numbered(file: str, statements: Iterator[Statement]) -> Iterator[pa.RecordBatch]:
-    """Statements of one file in batches, each with its number and that of the changes before it."""
-    held: list[dict] = []
-    before = size = 0
-    for number, s in enumerate(statements):
-        held.append({"file": file, "statement": number, "kind": s.kind, "table": s.table, "columns": list(s.columns), "rows": [list(r) for r in s.rows], "sql": s.sql, "changes_before": before})
+    """Statements of one file in batches, each with its number and that of the changes before it; inserts one after the other into the same columns go together."""
+    held: list[list] = [[] for _ in _ARROW]
+    before = size = number = 0
+    last: tuple | None = None
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(values, field.type) for values, field in zip(held, _ARROW)], schema=_ARROW)
+
+    for s in statements:
+        into = (s.table, s.columns) if s.kind == "dml" else None
+        if into is not None and into == last:
+            held[5][-1].extend(s.rows)
+        else:
+            for values, value in zip(held, (file, number, s.kind, s.table, list(s.columns), list(s.rows), s.sql, before)):
+                values.append(value)
+            number += 1
+        last = into
         before, size = before + (len(s.rows) if s.kind == "dml" else 1), size + len(s.rows) + 1
         if size >= 10 * CHUNK:
-            yield pa.RecordBatch.from_pylist(held, schema=_ARROW)
-            held, size = [], 0
-    yield pa.RecordBatch.from_pylist(held, schema=_ARROW)
+            yield batch()
+            held, size, last = [[] for _ in _ARROW], 0, None
+    yield batch()
 
 
 _PARSERS = {"pg": pg_statements, "mysql": mysql_statements}
@@ -475,7 +494,9 @@ def statement_changes(statements: DataFrame, skip_tables: list[str] | None = Non
 
 def load_dump(spark: SparkSession, path: str, dialect: str, max_rows_per_table: int = 0, skip_tables: list[str] | None = None, only_tables: list[str] | None = None, like_reference: bool = False) -> DataFrame:
     """The changes of the dump files at a path."""
-    return statement_changes(dump_line_statements(read_dump_lines(spark, path), dialect, like_reference), skip_tables, only_tables, max_rows_per_table, empty_is_null=like_reference)
+    # Statements are read several times; files are parsed once.
+    statements = written(dump_line_statements(read_dump_lines(spark, path), dialect, like_reference), "statements")
+    return statement_changes(statements, skip_tables, only_tables, max_rows_per_table, empty_is_null=like_reference)
 
 
 @dataclass(frozen=True)
