@@ -144,6 +144,12 @@ def test_passwords():
     assert passwords.bcrypt("U*U", cost=5, salt=passwords._from64("CCCCCCCCCCCCCCCCCCCCC.")) == "$2a$05$CCCCCCCCCCCCCCCCCCCCC.E5YPO9kmyuRGyh0XouQYb4YMJKvyOeW"
     one = passwords.bcrypt("x", cost=4)
     assert one != passwords.bcrypt("x", cost=4) and passwords.check_bcrypt("x", one) and not passwords.check_bcrypt("y", one)
+    many = passwords.argon2id_batch([("a", "x"), ("b", "x"), ("a", "y")], time=2, memory=64, threads=4)
+    assert many == [passwords.argon2id(c, o, time=2, memory=64, threads=4) for c, o in (("a", "x"), ("b", "x"), ("a", "y"))] and len(set(many)) == 3
+    texts = [f"password {i}" * (i % 9) for i in range(passwords.BCRYPT_TOGETHER)]
+    together = passwords.bcrypt_batch([(t, "") for t in texts], cost=4)
+    assert all(passwords.check_bcrypt(t, h) for t, h in zip(texts, together)) and len(set(together)) == len(texts)
+    assert passwords.argon2id_batch([]) == passwords.bcrypt_batch([]) == []
     assert passwords.scrypt("a", "b", n=16) == passwords.scrypt("a", "b", n=16) != passwords.scrypt("a", "c", n=16)
     assert passwords.pbkdf2("a", "testuser", iterations=2).startswith("ae5deb822e0d71992900471a7199d0d9$")
     assert passwords.pbkdf2("a", "b", use_salt=False, iterations=2).startswith("0" * 32)
