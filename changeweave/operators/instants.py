@@ -220,23 +220,24 @@ def instant_micros(text: Column, zone: Column, day_first: Column, zones: list[st
     return F.arrow_udf(convert, "bigint")(text, zone.cast("int"), day_first.cast("boolean"))
 
 
+#: A stream table of at most so many rows goes to every executor; a larger one is joined by a shuffle.
 MAX_SOURCES = 100_000
 
 
 def normalised_instants(changes: DataFrame, ddl: DataFrame, sources: DataFrame) -> DataFrame:
     """Every text of both logs that denotes an instant: found_in, record_id, column_name, utc_micros.
 
-    ``sources`` (one row per stream; its size is checked against
-    ``MAX_SOURCES``) gives each stream's zone and order of day and month.
+    ``sources`` (one row per stream; sent to every executor if it has at most
+    ``MAX_SOURCES`` rows) gives each stream's zone and order of day and month.
     Deliveries of an unknown stream keep their texts with an explicit zone.
     A cell beyond the listed names has a NULL column_name.  Repeated rows give
     repeated rows; empty logs give none.
     """
-    if sources.limit(MAX_SOURCES + 1).count() > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} streams")
     zones = sorted(r[0] for r in sources.select("server_zone").where("server_zone is not null").distinct().collect())
     number = F.create_map(*[x for i, z in enumerate(zones) for x in (F.lit(z), F.lit(i))]) if zones else F.lit(None)
-    where = F.broadcast(sources.groupBy("stream_id").agg(F.first("server_zone").alias("z"), F.first("date_order").alias("d")).select("stream_id", (F.element_at(number, F.col("z")) if zones else number.cast("int")).alias("zone_no"), (F.col("d") == "dmy").alias("day_first")))
+    where = sources.groupBy("stream_id").agg(F.first("server_zone").alias("z"), F.first("date_order").alias("d")).select("stream_id", (F.element_at(number, F.col("z")) if zones else number.cast("int")).alias("zone_no"), (F.col("d") == "dmy").alias("day_first"))
+    if sources.limit(MAX_SOURCES + 1).count() <= MAX_SOURCES:
+        where = F.broadcast(where)
     cells = changes.select("delivery_id", "stream_id", "column_names", F.posexplode(F.col("column_values").getField("timestamp_value")).alias("place", "text")).where("text is not null")
     long = cells.select(F.lit("change_log").alias("found_in"), F.col("delivery_id").alias("record_id"), F.get("column_names", "place").alias("column_name"), "text", "stream_id").unionByName(
         ddl.where("ddl_time is not null").select(F.lit("ddl_log").alias("found_in"), F.col("log_id").alias("record_id"), F.lit("ddl_time").alias("column_name"), F.col("ddl_time").alias("text"), "stream_id")

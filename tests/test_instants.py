@@ -58,6 +58,16 @@ def test_unknown_stream_null_names_and_empty_logs(spark):
     assert normalised_instants(bare.limit(0), ddl, sources).count() == 0
 
 
+def test_large_stream_tables_are_joined(spark, monkeypatch):
+    from changeweave.operators import instants
+
+    folder = "/root/testdata/sf0.001"
+    args = [spark.read.parquet(f"{folder}/{n}.parquet") for n in ("change_log", "ddl_log", "stream_sources")]
+    small = normalised_instants(*args)
+    monkeypatch.setattr(instants, "MAX_SOURCES", 3)
+    assert normalised_instants(*args).exceptAll(small).count() == 0 and small.exceptAll(normalised_instants(*args)).count() == 0
+
+
 def test_against_brute_force(spark):
     folder = "/root/testdata/sf0.001"
     log_, ddl, sources = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("change_log", "ddl_log", "stream_sources"))
