@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.position import BEFORE_ALL, score, score_of
+from ..functions.position import BEFORE_ALL, bootstrap_text, score, score_of
+from ..storage import written
 
 #: Changes that one page, or one single-shot scan, has.
 PAGE = 1000
@@ -15,6 +16,25 @@ def scored(changes: DataFrame, position: str = "position") -> DataFrame:
     return changes.withColumn("score", score(F.col(position))).where("score is not null")
 
 
+def with_bootstrap_positions(rows: DataFrame, *order: str, name: str = "position") -> DataFrame:
+    """The rows with gap-free synthetic positions in the given order, counted from 1.
+
+    Rows are sorted in ranges and numbered within each; only the number of
+    rows of each range goes through the driver.  Rows that are equal in
+    ``order`` follow each other in any order; NULLs come first; an empty table
+    stays empty.
+    """
+    keys = [F.col(c) for c in order]
+    sorted_ = written(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    parts = sorted_.groupBy("__part").agg(F.count("*").alias("n"), F.min("__row").alias("first")).orderBy("__part").collect()  # one row per range
+    starts, before = [], 0
+    for part in parts:
+        starts.append((part["__part"], before - part["first"] + 1))
+        before += part["n"]
+    shift = rows.sparkSession.createDataFrame(starts, "__part int, __shift bigint")
+    return sorted_.join(F.broadcast(shift), "__part").withColumn(name, bootstrap_text(F.col("__row") + F.col("__shift"))).select(*rows.columns, name)
+
+
 def append(changes: DataFrame, path: str) -> None:
     """Append to a stored log; ``score`` is stored so that range scans reach the files' statistics."""
     scored(changes).write.mode("append").parquet(path)

@@ -237,9 +237,9 @@ def position_compare(spark, folder):
     return table(spark, folder, "events").select("event_id", position.compare(left, lsn(F.lit(500))).alias("compared"))
 
 
-@query("SELECT n_nationkey, '0/BOOTSTRAP' || lpad(CAST(row_number() OVER (ORDER BY n_nationkey) AS VARCHAR), 16, '0') AS position FROM nation")
+@query("SELECT o_orderkey, '0/BOOTSTRAP' || lpad(CAST(row_number() OVER (ORDER BY o_orderkey) AS VARCHAR), 16, '0') AS position FROM orders")
 def position_generate(spark, folder):
-    return table(spark, folder, "nation").select("n_nationkey", position.bootstrap_position("n_nationkey").alias("position"))
+    return change_log.with_bootstrap_positions(table(spark, folder, "orders").select("o_orderkey"), "o_orderkey")
 
 
 @query(f"SELECT event_id, position, score FROM ({_LOG}) WHERE score > 2 * 4294967296 + 50004")

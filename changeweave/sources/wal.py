@@ -16,6 +16,8 @@ FRAME = (
     "seq bigint, frame string, lsn string, message string, relation_id int, namespace string, name string, "
     "columns array<struct<name:string,oid:int,flags:int>>, new_tuple array<string>, old_tuple array<string>"
 )
+#: At most so many descriptions of relations go to every executor; more are joined by a shuffle.
+MAX_RELATIONS = 100_000
 #: Table whose inserts are schema changes.
 DDL_LOG_TABLE = "internal_ddl_log"
 # Type numbers of the catalogue.
@@ -69,8 +71,12 @@ def with_relations(frames: DataFrame) -> DataFrame:
     relations = data.where("message = 'relation'").select("relation_id", F.col("seq").alias("since"), F.struct("namespace", "name", "columns").alias("relation"))
     held = relations.withColumn("until", F.lead("since").over(Window.partitionBy("relation_id").orderBy("since")))
     rows = data.where("message in ('insert', 'update', 'delete')").select("seq", "lsn", "message", "relation_id", "new_tuple", "old_tuple")
-    on = (rows["relation_id"] == held["relation_id"]) & (held["since"] < rows["seq"]) & (held["until"].isNull() | (held["until"] > rows["seq"]))
-    return rows.join(held, on, "left").select(rows["seq"], "lsn", "message", "new_tuple", "old_tuple", "relation")
+    held = held.withColumnRenamed("relation_id", "held_id")
+    # Descriptions are few beside the rows, and a busy table is one key, so they go to every executor.
+    if relations.limit(MAX_RELATIONS + 1).count() <= MAX_RELATIONS:
+        held = F.broadcast(held)
+    on = (F.col("relation_id") == F.col("held_id")) & (F.col("since") < F.col("seq")) & (F.col("until").isNull() | (F.col("until") > F.col("seq")))
+    return rows.join(held, on, "left").select("seq", "lsn", "message", "new_tuple", "old_tuple", "relation")
 
 
 def wal_changes(frames: DataFrame, ddl_table: str = DDL_LOG_TABLE, keys_like_reference: bool = False) -> DataFrame:

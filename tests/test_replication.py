@@ -386,6 +386,15 @@ def test_log(spark, tmp_path):
         change_log.after(log, "nonsense")
 
 
+def test_synthetic_positions_have_no_gaps(spark):
+    df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k"), F.lit("x").alias("position_of")).repartition(7)
+    got = [(r.k, r.position) for r in change_log.with_bootstrap_positions(df, "k").orderBy("k").collect()]
+    assert got == [(i, f"0/BOOTSTRAP{i + 1:016d}") for i in range(1000)]
+    assert change_log.with_bootstrap_positions(df.limit(0), "k").count() == 0
+    tied = spark.createDataFrame([(None,), (1,), (1,)], "k int")
+    assert sorted((r.k, r.position[-1]) for r in change_log.with_bootstrap_positions(tied, "k").collect() if r.k) == [(1, "2"), (1, "3")]
+
+
 def test_pushed_filters(spark, tmp_path):
     change_log.append(spark.createDataFrame([("0/1", "a")], "position string, payload string"), str(tmp_path / "log"))
     plan = change_log.after(change_log.read_log(spark, str(tmp_path / "log")), "0/5")._jdf.queryExecution().executedPlan().toString()
