@@ -18,7 +18,7 @@ from ..model import CELL, cell, plain_text, tag
 from ..operators import catalogue_queries, change_log, copydiff, latest_state, render, transforms
 from ..sources import binlog, codec, dumps, infer, synthetic, tables, wal, wire
 from ..sources.config import ColumnTransform, TransformConfig
-from ..storage import shared_root, table
+from ..storage import shared_root, table, written
 from ..streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -661,6 +661,26 @@ def synthetic_tasks(spark, folder):
     return synthetic.generate(spark, 10)["tasks"]
 
 
+_RULES = ("users belong to organizations", "owners are users of their organization", "cards belong to organizations", "projects belong to organizations", "project owners are users of the organization", "tasks belong to projects", "assignees are users of the organization", "one invoice a month", "invoices cost users times price", "no updates before creation")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{r}', 0)" for r in _RULES) + ") t(rule, violations)")
+def synthetic_rules(spark, folder):
+    """How many rows of the synthetic tables break each rule of the schema."""
+    t = {n: written(d, n) for n, d in synthetic.generate(spark, 20).items()}
+    users = t["users"].select(F.col("id").alias("uid"), F.col("organization_id").alias("org"))
+    orgs = t["organizations"].select(F.col("id").alias("org"))
+    lost = lambda rows, key: rows.withColumnRenamed(key, "org").join(orgs, "org", "left_anti").count()
+    strangers = lambda rows, who, org: rows.join(users, (F.col(who) == F.col("uid")) & (F.col(org) == F.col("org")), "left_anti").count()
+    tasks = t["tasks"].join(t["projects"].select(F.col("id").alias("project_id"), F.col("organization_id").alias("project_org")), "project_id", "left").where("project_org is null or project_org <> organization_id").count()
+    price = t["subscriptions"].select("organization_id", "monthly_per_user_price")
+    costs = t["invoices"].join(price, "organization_id").join(synthetic.members(t["users"]), "organization_id").where("cost <> cast(monthly_per_user_price * users as decimal(10,2))").count()
+    months = t["invoices"].groupBy("organization_id", "date").count().where("count > 1 or day(date) <> 1").count()
+    early = sum(d.where("updated_at < created_at").count() for d in t.values())
+    found = [lost(t["users"], "organization_id"), strangers(t["organizations"], "owner_id", "id"), lost(t["credit_cards"], "organization_id"), lost(t["projects"], "organization_id"), strangers(t["projects"], "owner_id", "organization_id"), tasks, strangers(t["tasks"], "assignee_id", "organization_id"), months, costs, early]
+    return spark.createDataFrame(list(zip(_RULES, found)), "rule string, violations int")
+
+
 # State and streams ---------------------------------------------------------------------------------------------------
 
 
