@@ -1,19 +1,23 @@
-"""A graph of articles that are alike, and the propagation of labels over it.
+"""A graph of articles that share terms, and the propagation of labels over it.
 
-Candidates come from a forest of sorted sketches: every tree orders the
-articles by the least hashes of their terms, so articles that share terms stand
-side by side, and each is compared with the next few only.  Nothing is paired
-within a group; a group of any size costs a constant per member.  Every
-candidate is verified by the exact overlap of both articles' terms.
+Every two articles that share a content term are partners; no partner is left
+out.  Their number grows with the square of the articles, so the edges are
+never listed: what all partners of an article say is summed by term first,
+exactly, and an article adds the sums of its terms less its own part.  A step
+costs as much as the articles have terms, however many partners they have.
+
+``alike_articles`` lists near partners only, a constant number per article; the
+propagation does not use it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..storage import written
@@ -24,6 +28,10 @@ TREES, NEXT = 6, 1
 LEAST_SHARED = 2
 #: Least share of the shorter article's terms that the other has too.
 LEAST_OVERLAP = 0.2
+#: Sums by term and area that every executor holds at once; more areas than that go in several rounds.
+MAX_SUMS = 24_000_000
+#: What a shared term tells at least, beside how far its labels are from those of all terms: no partner weighs nothing.
+LEAST_TOLD = 0.01
 #: Part of an article's label that stays from step to step, so that labels settle.
 INERTIA = 0.5
 #: Labels are sent in so many parts of one: sums of whole numbers are the same in any order, and small in a shuffle.
@@ -149,17 +157,140 @@ def alike_articles(graph: DataFrame, content: np.ndarray) -> DataFrame:
     return sketches(graph, content).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_verified_pairs, "doc_id bigint, article int, to_doc bigint, to_article int, weight bigint")
 
 
+def sums_schema(names: list[str]) -> str:
+    return ", ".join(["term int", *[f"{n} double" for n in names[1:]]])
+
+
+def summed(term: np.ndarray, weight: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    """The weights (a row per place) summed by term."""
+    found, code = np.unique(term, return_inverse=True)
+    return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), *[pa.array(np.bincount(code, weights=weight[:, i], minlength=len(found)), pa.float64()) for i in range(weight.shape[1])]], names=names)
+
+
+def article_terms(graph: DataFrame, content: np.ndarray) -> DataFrame:
+    """doc_id, article and terms of every article that has terms: the places in ``content`` of those that count, packed."""
+    held = graph.sparkSession.sparkContext.broadcast(content)
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = held.value
+        for batch in batches:
+            size, term = unpacked(batch.column("node_terms"))
+            article = unpacked(batch.column("node_articles"))[1]
+            page = np.repeat(np.arange(batch.num_rows), size)
+            new = np.ones(len(page), bool)
+            new[1:] = (page[1:] != page[:-1]) | (article[1:] != article[:-1])
+            at = np.minimum(np.searchsorted(known, term), max(len(known) - 1, 0))
+            keep = known[at] == term if len(known) else np.zeros(len(term), bool)
+            lists = packed(at[keep], np.searchsorted((np.cumsum(new) - 1)[keep], np.arange(new.sum() + 1)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(page[new])), pa.array(article[new], pa.int32()), lists], names=[*_NODE, "terms"])
+
+    return graph.select("doc_id", "node_articles", "node_terms").mapInArrow(tell, "doc_id bigint, article int, terms binary")
+
+
 def _total(names: list[str]) -> Column:
     return sum((F.col(n) for n in names[1:]), F.col(names[0]))
 
 
+def _names(areas: int) -> list[str]:
+    return [f"s{i}" for i in range(areas)]
+
+
+def _told(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
+    """The labels of a batch of articles as whole numbers of parts."""
+    return np.stack([np.floor(batch.column(n).to_numpy(zero_copy_only=False).astype(np.float64) * PARTS + 0.5) for n in names], axis=1)
+
+
+def partners_by_term(terms: int, areas: int, holders: np.ndarray) -> Callable[[DataFrame], DataFrame]:
+    """What tells every article what all that share terms with it say: adds got_s0, got_s1, ... to articles with ``terms`` and labels.
+
+    Each of an article's terms listens evenly to all other articles with the
+    term, and a term whose labels are like everybody's tells little: an edge
+    weighs the sum of told^2 / (``holders`` - 1) over the shared terms, where
+    told is the relative entropy of the term's labels (and one more article
+    that is like all) against those of all terms, and ``LEAST_TOLD``.  Labels
+    are summed by term as whole numbers, and an article's own is taken off
+    before anything is divided, so no rounding stands for a partner.
+    """
+    names = _names(areas)
+    wide = max(1, MAX_SUMS // max(terms, 1))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, term = unpacked(batch.column("terms"))
+            yield summed(term, _told(batch, names)[np.repeat(np.arange(len(size)), size)], ["term", *names])
+
+    def listener(held: Broadcast, part: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def listen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums, weight = held.value
+            for batch in batches:
+                size, term = unpacked(batch.column("terms"))
+                row = np.repeat(np.arange(len(size)), size)
+                own, w = _told(batch, part), weight[term]
+                got = [np.bincount(row, weights=(sums[term, i] - own[row, i]) * w, minlength=len(size)) for i in range(len(part))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(g, pa.float64()) for g in got]], names=[*batch.schema.names, *[f"got_{n}" for n in part]])
+
+        return listen
+
+    def hear(now: DataFrame) -> DataFrame:
+        spoken = now.where(_total(names) > 0).select("terms", *names).mapInArrow(add, sums_schema(["term", *names]))
+        sums = written(spoken.groupBy("term").agg(*[F.sum(n).alias(n) for n in names]), "said")
+        whole = sums.agg(*[F.sum(n) for n in names]).first()
+        total = sum(x or 0.0 for x in whole) or 1.0
+        prior = [max((x or 0.0) / total, 1e-3) for x in whole]
+        shares = [(p, (F.col(n) + PARTS * p) / (_total(names) + PARTS)) for n, p in zip(names, prior)]
+        told = F.greatest(sum((q * F.log(q / p) for p, q in shares), F.lit(0.0)), F.lit(0.0)) + LEAST_TOLD
+        for start in range(0, areas, wide):
+            part = names[start : start + wide]
+            said = sums.select("term", (told * told).alias("weight"), *part).toArrow()
+            term = said.column("term").to_numpy()
+            table, weight = np.zeros((terms, len(part))), np.zeros(terms)
+            weight[term] = said.column("weight").to_numpy() / np.maximum(holders[term] - 1, 1)
+            for i, n in enumerate(part):
+                table[term, i] = said.column(n).to_numpy()
+            held = now.sparkSession.sparkContext.broadcast((table, weight))
+            fields = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in now.schema.fields] + [f"got_{n} double" for n in part])
+            now = now.mapInArrow(listener(held, part), fields)
+        return now
+
+    return hear
+
+
+def propagated_by_terms(nodes: DataFrame, terms: int, seeds: DataFrame, areas: int) -> DataFrame:
+    """doc_id, article and s0, s1, ... of the articles of ``article_terms``: labels spread between all that share terms."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            term = unpacked(batch.column("terms"))[1]
+            yield summed(term, np.ones((len(term), 1)), ["term", "n"])
+
+    nodes = written(nodes, "nodes")
+    counted = nodes.select("terms").mapInArrow(count, sums_schema(["term", "n"])).groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    holders = np.zeros(terms)
+    holders[counted.column("term").to_numpy()] = counted.column("n").to_numpy()
+    return _settled(nodes, seeds, areas, partners_by_term(terms, areas, holders))
+
+
 def propagated(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, areas: int) -> DataFrame:
+    """The same for a graph whose edges are listed: doc_id, article, to_doc, to_article and weight, in both directions."""
+    names = _names(areas)
+    linked = written(edges.groupBy(*_NODE).agg(F.collect_list(F.struct("to_doc", "to_article", "weight")).alias("to")), "links")
+
+    def hear(now: DataFrame) -> DataFrame:
+        told = now.where(_total(names) > 0).select(*_NODE, *[F.floor(F.col(n) * PARTS + 0.5).alias(n) for n in names]).join(linked, list(_NODE)).select(F.explode("to").alias("to"), *names)
+        sent = told.select(F.col("to.to_doc").alias("doc_id"), F.col("to.to_article").alias("article"), *[(F.col(n) * F.col("to.weight")).alias(n) for n in names])
+        got = sent.groupBy(*_NODE).agg(*[F.sum(n).alias(f"got_{n}") for n in names])
+        return now.join(got, list(_NODE), "left").select(*now.columns, *[F.coalesce(F.col(f"got_{n}").cast("double"), F.lit(0.0)).alias(f"got_{n}") for n in names])
+
+    return _settled(nodes, seeds, areas, hear)
+
+
+def _settled(nodes: DataFrame, seeds: DataFrame, areas: int, hear: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """doc_id, article and s0, s1, ...: how much of each area every article has, once the labels stand still.
 
-    ``nodes`` has doc_id and article, ``seeds`` doc_id and the list ``seed`` of
+    ``nodes`` has doc_id, article and what ``hear`` needs, ``seeds`` doc_id and the list ``seed`` of
     the areas that labels give a page.  Labels spread evenly to their page's
-    articles first.  Each step takes to every article the labels of those it is
-    alike, by a join with the edges and a sum.  Where an article's neighbours
+    articles first.  Each step takes to every article the labels of its
+    partners (``hear`` adds their sums).  Where an article's neighbours
     agree with its page's labels these are trusted, and the article is clamped
     to them in every step and in the result: only the rest of its label may be
     of other areas, as hands leave some out.  Where they do not agree the
@@ -167,7 +298,8 @@ def propagated(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, areas: int)
     that reach them.  Steps go on until hardly any article changes its
     first area, or the number of changes has not fallen three times in a row.
     """
-    names = [f"s{i}" for i in range(areas)]
+    names = _names(areas)
+    kept = [*nodes.columns, "seed"]
     zero = F.lit(0.0)
 
     def even(i: int) -> Column:
@@ -189,21 +321,16 @@ def propagated(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, areas: int)
         # What had no label before takes the new one whole.
         return F.when(_total(names) > 0, F.col(n) * INERTIA + taken * (1 - INERTIA)).otherwise(taken)
 
-    linked = written(edges.groupBy(*_NODE).agg(F.collect_list(F.struct("to_doc", "to_article", "weight")).alias("to")), "links")
-    now = written(nodes.join(seeds, "doc_id", "left").select(*_NODE, "seed", *[F.coalesce(even(i), zero).cast("float").alias(n) for i, n in enumerate(names)]), "labels")
+    now = written(nodes.join(seeds, "doc_id", "left").select(*kept, *[F.coalesce(even(i), zero).cast("float").alias(n) for i, n in enumerate(names)]), "labels")
     articles = now.count()
     least, waited = None, 0
     while True:
-        told = now.where(_total(names) > 0).select(*_NODE, *[F.floor(F.col(n) * PARTS + 0.5).alias(n) for n in names]).join(linked, list(_NODE)).select(F.explode("to").alias("to"), *names)
-        sent = told.select(F.col("to.to_doc").alias("doc_id"), F.col("to.to_article").alias("article"), *[(F.col(n) * F.col("to.weight")).alias(n) for n in names])
-        got = sent.groupBy(*_NODE).agg(*[F.sum(n).alias(f"got_{n}") for n in names])
-        heard = now.join(got, list(_NODE), "left").select(*_NODE, "seed", *names, *[F.coalesce(F.col(f"got_{n}").cast("double"), zero).alias(f"got_{n}") for n in names])
-        weighed = heard.withColumn("total", _total([f"got_{n}" for n in names])).withColumn("inside", sum((F.when(F.array_contains("seed", i), F.col(f"got_{n}")).otherwise(0.0) for i, n in enumerate(names)), zero))
-        took = weighed.select(*_NODE, "seed", *[fresh(i, n).cast("float").alias(n) for i, n in enumerate(names)], first_area(names).alias("before"))
+        weighed = hear(now).withColumn("total", _total([f"got_{n}" for n in names])).withColumn("inside", sum((F.when(F.array_contains("seed", i), F.col(f"got_{n}")).otherwise(0.0) for i, n in enumerate(names)), zero))
+        took = weighed.select(*kept, *[fresh(i, n).cast("float").alias(n) for i, n in enumerate(names)], first_area(names).alias("before"))
         now = written(took.withColumn("changed", first_area(names) != F.col("before")).drop("before"), "labels")
         changed = now.where("changed").count()
         now = now.drop("changed")
         waited = waited + 1 if least is not None and changed >= least else 0
         least = changed if least is None else min(least, changed)
         if changed <= STILL * articles or waited == 3:
-            return now.drop("seed")
+            return now.select(*_NODE, *names)

@@ -1,9 +1,8 @@
 """Subject areas of pages, by propagation of labels over a graph of articles.
 
-The graph (``article_graph``) has verified edges between articles that share
-content terms.  The labels of pages are its seeds; they spread by iterated
-joins until they stand still, trusted seeds clamped, and an article keeps every
-area that reaches it.  Those areas are the rows; a check of each article's
+The graph (``article_graph``) joins all articles that share content terms.  The
+labels of pages are its seeds; they spread in steps until they stand still,
+trusted seeds clamped, and an article keeps every area that reaches it.  Those areas are the rows; a check of each article's
 sentences follows, which drops areas that are only mentioned in passing.
 """
 
@@ -18,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..storage import written
-from .article_graph import alike_articles, packed, propagated, unpacked
+from .article_graph import article_terms, packed, propagated_by_terms, summed, sums_schema, unpacked
 from .layout import Pieces, bounded, joined, pieces
 
 #: Least number of articles with a term for it to be a node; frequent words are left out where they lean to no area.
@@ -183,19 +182,6 @@ def incidence(pages: DataFrame, terms: list[str]) -> DataFrame:
     return pages.select("doc_id", "words", "sentences", "articles").mapInArrow(find, "doc_id bigint, words binary, sentences binary, articles binary, node_articles binary, node_terms binary")
 
 
-def article_numbers(pages: DataFrame) -> DataFrame:
-    """doc_id and article of every article that has terms."""
-
-    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            page, (article,) = _flat(batch, "node_articles")
-            new = np.ones(len(page), bool)
-            new[1:] = (page[1:] != page[:-1]) | (article[1:] != article[:-1])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(page[new])), pa.array(article[new], pa.int32())], names=["doc_id", "article"])
-
-    return pages.select("doc_id", "node_articles").mapInArrow(tell, "doc_id bigint, article int")
-
-
 def _scale(areas: int) -> float:
     """About what one term can say of an area at most."""
     return float(np.log(max(areas, 2)))
@@ -231,20 +217,10 @@ def _seed_sums(graph: DataFrame, areas: int) -> DataFrame:
             row, (area,) = _lists(batch, "seed")
             seeds = np.zeros((batch.num_rows, areas))
             seeds[row, area.to_numpy(zero_copy_only=False)] = 1.0
-            yield _summed(term, (seeds / np.maximum(seeds.sum(axis=1), 1)[:, None])[page], names)
+            yield summed(term, (seeds / np.maximum(seeds.sum(axis=1), 1)[:, None])[page], names)
 
     labelled = graph.where("seed is not null").select("node_terms", "seed")
-    return labelled.mapInArrow(walk, _sums_schema(names)).groupBy("term").agg(*[F.sum(n).alias(n) for n in names[1:]])
-
-
-def _sums_schema(names: list[str]) -> str:
-    return ", ".join(["term int", *[f"{n} double" for n in names[1:]]])
-
-
-def _summed(term: np.ndarray, weight: np.ndarray, names: list[str]) -> pa.RecordBatch:
-    """The weights (a row per place) summed by term."""
-    found, code = np.unique(term, return_inverse=True)
-    return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), *[pa.array(np.bincount(code, weights=weight[:, i], minlength=len(found)), pa.float64()) for i in range(weight.shape[1])]], names=names)
+    return labelled.mapInArrow(walk, sums_schema(names)).groupBy("term").agg(*[F.sum(n).alias(n) for n in names[1:]])
 
 
 def _parts(batch: pa.RecordBatch, page: np.ndarray, article: np.ndarray, areas: int) -> np.ndarray:
@@ -268,9 +244,9 @@ def _label_sums(pages: DataFrame, areas: int) -> DataFrame:
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             page, (article, term) = _flat(batch, "node_articles", "node_terms")
-            yield _summed(term, _parts(batch, page, article, areas), names)
+            yield summed(term, _parts(batch, page, article, areas), names)
 
-    return pages.select("node_articles", "node_terms", "of_article", "of_label").mapInArrow(walk, _sums_schema(names)).groupBy("term").agg(*[F.sum(n).alias(n) for n in names[1:]])
+    return pages.select("node_articles", "node_terms", "of_article", "of_label").mapInArrow(walk, sums_schema(names)).groupBy("term").agg(*[F.sum(n).alias(n) for n in names[1:]])
 
 
 def _prior(whole: list[float | None]) -> list[float]:
@@ -291,9 +267,9 @@ def content_terms(graph: DataFrame, terms: int, areas: list[str]) -> np.ndarray:
 
 
 def article_labels(graph: DataFrame, seeds: DataFrame, terms: int, areas: list[str]) -> DataFrame:
-    """doc_id, article, s0, s1, ...: the areas of every article, by propagation over the graph of articles that are alike."""
-    edges = alike_articles(graph, content_terms(graph, terms, areas))
-    return propagated(article_numbers(graph), edges, seeds, len(areas))
+    """doc_id, article, s0, s1, ...: the areas of every article, by propagation between all articles that share content terms."""
+    content = content_terms(graph, terms, areas)
+    return propagated_by_terms(article_terms(graph, content), len(content), seeds, len(areas))
 
 
 def _assign(odds: np.ndarray, page: np.ndarray, sentence: np.ndarray, article: np.ndarray, term: np.ndarray, pages: int, held: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:

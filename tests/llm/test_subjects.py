@@ -1,10 +1,12 @@
+import math
 import random
 
 import numpy as np
 import pytest
 
-from changeweave.llm.article_graph import LEAST_OVERLAP, LEAST_SHARED, NEXT, TREES, UNKNOWN, alike_articles, propagated
-from changeweave.llm.subjects import _assign, subject_areas
+from changeweave.llm import article_graph
+from changeweave.llm.article_graph import LEAST_OVERLAP, LEAST_SHARED, NEXT, TREES, UNKNOWN, alike_articles, article_terms, partners_by_term, propagated
+from changeweave.llm.subjects import _assign, article_labels, subject_areas
 
 DOCS = "doc_id bigint, text string, line_boxes array<struct<x0:int,y0:int,x1:int,y1:int,conf:int>>"
 STEMS = {"law": "court plead statut", "music": "violin choral oper", "farming": "harvest plough cattl", "sport": "wicket wrestl sprint", "health": "nurs clinic fever", "software": "server comput modul"}
@@ -132,6 +134,51 @@ def test_edges_are_verified_and_bounded(spark):
     assert alike_articles(graph.limit(0), np.arange(1000)).count() == alike_articles(graph, np.zeros(0, int)).count() == 0
 
 
+def term_pages(spark, sets, seeds):
+    """A page with one article of each set of terms, and the labels of some."""
+    pack = lambda x: np.array(x, np.int32).tobytes()
+    schema = "doc_id bigint, node_articles binary, node_terms binary, seed array<int>"
+    return spark.createDataFrame([(i, pack([0] * len(t)), pack(sorted(t)), seeds.get(i)) for i, t in enumerate(sets)], schema), spark.createDataFrame(list(seeds.items()), "doc_id bigint, seed array<int>")
+
+
+def test_no_partner_is_dropped(spark):
+    """300 articles are nearly the same; each has 40 labelled partners of area 0 and 20 of area 1, further away than the others."""
+    rng = random.Random(2)
+    own = iter(range(100, 100_000))
+    alike = [[*range(4), *range(10, 14), *rng.sample(range(20, 40), 16)] for _ in range(300)]
+    far = [[*range(4), *(next(own) for _ in range(14))] for _ in range(40)] + [[*range(10, 14), *(next(own) for _ in range(14))] for _ in range(20)]
+    other = [[next(own) for _ in range(8)] for _ in range(60)]
+    seeds = {300 + i: [0 if i < 40 else 1 if i < 60 else 2] for i in range(120)}
+    graph, labels = term_pages(spark, alike + far + other, seeds)
+    found = {r.doc_id: (r.s0, r.s1) for r in article_labels(graph, labels, next(own), ["law", "music", "sport"]).collect()}
+    assert len(found) == 420
+    assert all(min(found[i]) > 0.2 * sum(found[i]) for i in range(300))
+
+
+def test_sums_by_term_are_those_over_all_pairs(spark, monkeypatch):
+    """What partners say is what a loop over all pairs gives, whatever share of them is alike, and in several rounds of areas too."""
+    rng = random.Random(4)
+    sets = [set(rng.sample(range(30), rng.randrange(6))) for _ in range(120)] + [{1, 2, 3, 40}] * 60
+    graph, _ = term_pages(spark, sets, {})
+    rows = article_terms(graph, np.arange(1, 41)).collect()
+    assert sorted(r.doc_id for r in rows) == [i for i, t in enumerate(sets) if t]
+    label = {r.doc_id: [rng.choice([0.0, 0.25, 1.0]) for _ in range(3)] for r in rows}
+    now = spark.createDataFrame([(r.doc_id, r.article, r.terms, None, *label[r.doc_id]) for r in rows], "doc_id bigint, article int, terms binary, seed array<int>, s0 float, s1 float, s2 float").repartition(3)
+    holders = np.array([sum(t in x for x in sets) for t in range(1, 41)])
+    said = {t: [sum(label[d][i] * article_graph.PARTS for d in label if t in sets[d]) for i in range(3)] for t in range(1, 41)}
+    prior = [sum(x[i] for x in said.values()) / sum(map(sum, said.values())) for i in range(3)]
+    shares = {t: [(x + article_graph.PARTS * p) / (sum(said[t]) + article_graph.PARTS) for x, p in zip(said[t], prior)] for t in said}
+    weight = {t: (sum(q * math.log(q / p) for q, p in zip(shares[t], prior)) + article_graph.LEAST_TOLD) ** 2 / max(holders[t - 1] - 1, 1) for t in said}
+    for most in (article_graph.MAX_SUMS, 40):
+        monkeypatch.setattr(article_graph, "MAX_SUMS", most)
+        got = {r.doc_id: [r.got_s0, r.got_s1, r.got_s2] for r in partners_by_term(40, 3, holders)(now).collect()}
+        for a in label:
+            edge = {b: sum(weight[t] for t in (sets[a] & sets[b]) - {0}) for b in label if b != a}
+            assert got[a] == pytest.approx([sum(edge[b] * label[b][i] * article_graph.PARTS for b in edge) for i in range(3)])
+    assert article_terms(graph.limit(0), np.arange(9)).count() == 0
+    assert not any(r.terms for r in article_terms(graph, np.zeros(0, int)).collect())
+
+
 def test_without_labels_or_pages(spark):
     areas = spark.createDataFrame([("law", "")], "subject string, description string")
     none = spark.createDataFrame([], "doc_id bigint, subject string, labeller string")
